@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
+from ..plans.ship import ship
 from .textkernel import BLOCK_TEXTS, Words, blocks, mix
 
 FEW = 16
@@ -223,6 +224,7 @@ def links(texts: DataFrame, same: DataFrame, like: Likeness, cross: bool = False
     ``texts``: ``c`` long, ``side`` int, ``salt`` long, ``text``; pairs are sought within one salt only. ``same``: classes
     ``c`` to be verified against themselves (copies).
     """
+    ship(texts.sparkSession)
     pairs = cut(candidates(texts, like, cross).union(same.select("c", F.col("c").alias("d"))))
     wanted = pairs.select(F.col("ca").alias("c")).union(pairs.select("cb")).distinct()
     found = cut(texts.select("c", "text").join(wanted, "c", "left_semi").groupBy("c").agg(F.first("text").alias("text")))
