@@ -1 +1,349 @@
-"""To come."""
+"""Problem 1: variant spellings of names typed by people.
+
+A name is parsed into what names consist of: family words, line of business, number, legal form for organisations; surname,
+given name and initials for persons. Names that parse to the same parts are one node. Nodes are blocked by the phonetic codes
+of their sorted words (and by keys that survive the typing errors which change a code: one word together with the first or last letter of the
+other, the sorted letters), compared by Jaro-Winkler similarity of the words and the nickname table, and accepted pairs are
+clustered by connected components.
+
+Line of business, number, legal form and given name must agree. A name that leaves one of them out, or gives an initial, is
+linked with the one fuller name it can stand for; if it can stand for several different ones, with none of them.
+
+Nulls, empty strings and placeholders name nobody. Names are compared without case, accents, punctuation and titles.
+"""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..plans.lineage import cut
+from ..plans.ship import ship
+from .splits import components
+from .tables import table
+
+#: clusters of up to this many names are given as all pairs, larger ones as pairs with their least name
+PAIRS = 256
+SIMILAR = 0.82
+SIMILAR_MEAN = 0.90
+
+# fixed values: usual words of names -------------------------------------------------------------------------------
+PLACEHOLDERS = {"", "-", "--", "n a", "na", "none", "null", "nil", "unknown", "various", "other", "others", "tbd", "not applicable", "not available", "not disclosed", "undisclosed", "unnamed", "confidential"}
+TITLES = {"mr", "mrs", "ms", "miss", "dr", "prof", "sir", "esq", "phd", "md", "jr", "sr", "mba", "cpa"}
+JOINERS = {"the", "and", "of", "et", "und"}
+LEGAL = {
+    "company": ["company", "co"],
+    "corporation": ["corporation", "corp"],
+    "incorporated": ["incorporated", "inc"],
+    "limited": ["limited", "ltd"],
+    "llc": ["llc"],
+    "llp": ["llp"],
+    "lp": ["lp"],
+    "plc": ["plc"],
+    "gmbh": ["gmbh", "mbh", "gesellschaft"],
+    "ag": ["ag"],
+    "sa": ["sa"],
+    "nv": ["nv"],
+    "bv": ["bv"],
+    "spa": ["spa"],
+    "ab": ["ab"],
+}
+LINES = {
+    "aerospace": ["aero"],
+    "capital": ["cap"],
+    "chemicals": ["chem", "chems", "chemical"],
+    "communications": ["comm", "comms", "communication"],
+    "devices": ["dev", "devs", "device"],
+    "electronics": ["elec", "electr", "electronic"],
+    "energy": ["enrgy", "ener", "nrg"],
+    "engineering": ["eng", "engr", "engrg", "engg"],
+    "foods": ["fds", "food", "fd"],
+    "holdings": ["hldg", "hldgs", "holding"],
+    "industries": ["ind", "inds", "indus", "industry"],
+    "instruments": ["instr", "instrs", "inst", "instrument"],
+    "insurance": ["ins", "insur"],
+    "international": ["int", "intl", "internat"],
+    "laboratories": ["lab", "labs", "laboratory"],
+    "logistics": ["log", "logist", "logistic"],
+    "manufacturing": ["mfg", "manuf", "mfrg"],
+    "medical": ["med", "medic"],
+    "packaging": ["pkg", "pack", "packg"],
+    "partners": ["ptnr", "ptnrs", "ptrs", "partner"],
+    "pharmaceuticals": ["pharm", "pharma", "pharms", "pharmaceutical"],
+    "resources": ["res", "resource", "rsrcs"],
+    "semiconductor": ["semi", "semicond", "semis", "semiconductors"],
+    "services": ["serv", "servs", "svc", "svcs", "service"],
+    "systems": ["sys", "syst", "systs", "system"],
+    "technologies": ["tech", "techs", "technology"],
+    "group": ["grp"],
+    "solutions": ["sol", "solns"],
+    "ventures": ["vent"],
+}
+NICKNAMES = {
+    "alexander": ["alex", "sandy", "alec"],
+    "alexandra": ["alex", "sandra", "lexi", "sandy"],
+    "charles": ["charlie", "chuck", "chas"],
+    "edward": ["ed", "eddie", "ted", "ned", "teddy"],
+    "elizabeth": ["beth", "liz", "betty", "eliza", "lizzie"],
+    "frederick": ["fred", "freddie", "freddy"],
+    "gabriela": ["gaby", "gabby", "gabi"],
+    "henrietta": ["hettie", "etta", "hetty"],
+    "jonathan": ["jon", "jonny", "john"],
+    "katherine": ["kathy", "kate", "katie", "kat", "kathie"],
+    "leonard": ["len", "lenny", "leo"],
+    "margaret": ["maggie", "meg", "peggy", "marge", "greta"],
+    "nicholas": ["nick", "nicky"],
+    "oswald": ["ozzie", "oz", "os"],
+    "patricia": ["pat", "patty", "trish", "tricia"],
+    "patrick": ["pat", "paddy"],
+    "richard": ["rick", "dick", "rich", "richie", "ricky"],
+    "robert": ["bob", "rob", "bobby", "robbie"],
+    "susannah": ["sue", "susie", "suzy", "susan"],
+    "theodore": ["theo", "ted", "teddy"],
+    "victoria": ["vicky", "vicki", "tori"],
+    "william": ["bill", "will", "billy", "willy", "liam"],
+    "james": ["jim", "jimmy", "jamie"],
+    "joseph": ["joe", "joey"],
+    "michael": ["mike", "mick", "mickey"],
+    "thomas": ["tom", "tommy"],
+    "anthony": ["tony"],
+    "benjamin": ["ben", "benny"],
+    "christopher": ["chris", "kit"],
+    "daniel": ["dan", "danny"],
+    "david": ["dave", "davy"],
+    "deborah": ["deb", "debbie"],
+    "dorothy": ["dot", "dottie", "dolly"],
+    "gregory": ["greg"],
+    "jennifer": ["jen", "jenny"],
+    "matthew": ["matt"],
+    "samuel": ["sam", "sammy"],
+    "samantha": ["sam", "sammy"],
+    "stephen": ["steve"],
+    "timothy": ["tim", "timmy"],
+}
+# -------------------------------------------------------------------------------------------------------------------
+_LEGAL = {x: k for k, v in LEGAL.items() for x in v}
+_LINE = {x: k for k, v in LINES.items() for x in [k, *v]}
+_GIVEN: dict[str, set[str]] = {}
+for _k, _v in NICKNAMES.items():
+    for _x in [_k, *_v]:
+        _GIVEN.setdefault(_x, set()).add(_k)
+_NUMBER = re.compile(r"(?=[ivx])(x{0,3})(ix|iv|v?i{0,3})")
+_SOUND = {c: d for d, s in enumerate(("bfpv", "cgjkqsxz", "dt", "l", "mn", "r"), 1) for c in s}
+
+
+def jaro_winkler(a: str, b: str) -> float:
+    if a == b:
+        return 1.0
+    if not a or not b:
+        return 0.0
+    reach = max(len(a), len(b)) // 2 - 1
+    used = [False] * len(b)
+    left = []
+    for i, c in enumerate(a):
+        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
+            if not used[j] and b[j] == c:
+                used[j] = True
+                left.append(c)
+                break
+    m = len(left)
+    if not m:
+        return 0.0
+    right = [b[j] for j in range(len(b)) if used[j]]
+    swaps = sum(x != y for x, y in zip(left, right)) / 2
+    jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
+    prefix = 0
+    for x, y in zip(a[:4], b[:4]):
+        if x != y:
+            break
+        prefix += 1
+    return jaro + prefix * 0.1 * (1 - jaro)
+
+
+def phonetic(word: str) -> str:
+    """First letter and the classes of the other consonants, equal neighbours once."""
+    out = [word[:1]]
+    last = _SOUND.get(word[:1])
+    for c in word[1:]:
+        d = _SOUND.get(c)
+        if d and d != last:
+            out.append(str(d))
+        last = d or last
+    return "".join(out)
+
+
+def words_of(name: str) -> list[str]:
+    s = unicodedata.normalize("NFKD", name)
+    s = "".join(c for c in s if not unicodedata.combining(c))
+    s = re.sub(r"(?<=[a-z]{3})(?=[A-Z][a-z])", " ", s).lower()
+    s = re.sub(r"(?<=\w)['’](?=\w)", "", s)
+    s = re.sub(r"\b(?:[a-z]\.){2,}", lambda m: m.group().replace(".", "") if m.group().replace(".", "") in _LEGAL or m.group().replace(".", "") in TITLES else m.group(), s)
+    return re.findall(r"[a-z0-9]+", s)
+
+
+def _given_of(word: str) -> set[str]:
+    if word in _GIVEN:
+        return _GIVEN[word]
+    if len(word) < 5:
+        return set()
+    close = [(jaro_winkler(word, g), g) for g in NICKNAMES if abs(len(g) - len(word)) <= 2]
+    best = max(close, default=(0, ""))
+    return {best[1]} if best[0] >= 0.92 else set()
+
+
+def parse(name: str | None) -> tuple | None:
+    """``(kind, words, line, number, legal, given, initials)``, None if the name names nobody."""
+    if name is None:
+        return None
+    words = words_of(name)
+    if " ".join(words) in PLACEHOLDERS:
+        return None
+    titled = any(w in TITLES for w in words)
+    words = [w for w in words if w not in TITLES and w not in JOINERS]
+    legal = sorted({_LEGAL[w] for w in words if w in _LEGAL})
+    rest = [w for w in words if w not in _LEGAL]
+    line = sorted({_LINE[w] for w in rest if w in _LINE})
+    own = [w for w in rest if w not in _LINE]
+    number = next((w for w in own if w.isdigit() or (_NUMBER.fullmatch(w) and len(w) <= 4)), None) if line or legal else None
+    if number:
+        own.remove(number)
+    initials = "".join(w for w in own if len(w) == 1)
+    own = [w for w in own if len(w) > 1]
+    if not own:
+        own = [w for w in rest if len(w) > 1] or rest or words
+        line = []
+    if not legal and not line:
+        given = [(w, _given_of(w)) for w in own]
+        known = [(w, g) for w, g in given if g]
+        if known and len(own) >= 2:
+            exact = [x for x in known if x[0] in _GIVEN] or known
+            first = exact[0]
+            return "p", sorted(w for w in own if w != first[0]), None, None, None, sorted(first[1]), initials
+        if len(own) == 1 and initials or titled and len(own) == 1:
+            return "p", own, None, None, None, [], initials
+    return "c", sorted(own), " ".join(line) or None, number, " ".join(legal) or None, [], initials
+
+
+def block_keys(words: list[str]) -> list[str]:
+    joined = "".join(words)
+    keys = {"P" + "|".join(sorted(map(phonetic, words))), "L" + "".join(sorted(joined)), "D" + "".join(sorted(set(joined)))}
+    for i, w in enumerate(words):
+        other = "".join(words[:i] + words[i + 1 :])
+        keys |= {f"F{w}|{other[:1]}", f"E{w}|{other[-1:]}"} if other else {f"F{w[: len(w) // 2 + 1]}", f"E{w[-(len(w) // 2) - 1 :]}"}
+    return sorted(keys)
+
+
+def alike(a: list[str], b: list[str]) -> bool:
+    """Whether two lists of words are spellings of the same words."""
+    if a == b:
+        return True
+    ja, jb = "".join(a), "".join(b)
+    if len(a) != len(b):
+        return len(a) + len(b) == 3 and max(jaro_winkler("".join(x), y) for one, two in ((a, b), (b, a)) if len(one) == 2 for x in (one, one[::-1]) for y in two) >= 0.96
+    if len(a) == 1:
+        return jaro_winkler(ja, jb) >= 0.93
+    if len(a) == 2:
+        pairs = [(a[0], b[0], a[1], b[1]), (a[0], b[1], a[1], b[0])]
+        best = max(((min(x, y), (x + y) / 2) for x, y in ((jaro_winkler(p, q), jaro_winkler(r, s)) for p, q, r, s in pairs)), key=lambda v: v[1])
+        return best[0] >= SIMILAR and best[1] >= SIMILAR_MEAN
+    left = list(b)
+    for w in a:
+        best = max(left, key=lambda x: jaro_winkler(w, x))
+        if jaro_winkler(w, best) < 0.88:
+            return False
+        left.remove(best)
+    return True
+
+
+_NODE = "name string, node string, kind string, words array<string>, line string, number string, legal string, given array<string>, initials string, keys array<string>"
+
+
+def _parse_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for name in batch.column(0).to_pylist():
+            p = parse(name)
+            if p:
+                kind, words, line, number, legal, given, initials = p
+                first = initials[:1] if kind == "p" and not given else ""
+                node = "\x1f".join((kind, " ".join(words), line or "", number or "", legal or "", "/".join(given), first))
+                out.append((name, node, kind, words, line, number, legal, given, first, block_keys(words)))
+        cols = list(zip(*out)) if out else [()] * 10
+        kinds = [pa.string()] * 3 + [pa.list_(pa.string())] + [pa.string()] * 3 + [pa.list_(pa.string()), pa.string(), pa.list_(pa.string())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [f.split()[0] for f in _NODE.split(", ")])
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        wa, wb = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        keep = pa.array([i for i in range(len(wa)) if alike(wa[i], wb[i])], pa.int64())
+        exact = pa.array([wa[i] == wb[i] for i in keep.to_pylist()], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), exact, batch.column(4).take(keep), batch.column(5).take(keep)], ["a", "b", "exact", "strict", "full"])
+
+
+def _pairs(nodes: DataFrame) -> DataFrame:
+    """Compared pairs ``a, b, exact, strict, full``: ``strict`` if all parts agree, else ``a`` leaves out what ``b`` (with ``full`` parts) has."""
+    keyed = nodes.select("node", "kind", "words", "line", "number", "legal", "given", "initials", F.explode("keys").alias("key"))
+    a, b = (keyed.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "kind", "words", "line", "number", "legal", "given", "initials")]) for x in "ab")
+    same = lambda c: F.col(f"{c}_a").eqNullSafe(F.col(f"{c}_b"))
+    left_out = lambda c: F.col(f"{c}_a").isNull() & F.col(f"{c}_b").isNotNull()
+    company = (F.col("kind_a") == "c") & (F.col("kind_b") == "c")
+    person = (F.col("kind_a") == "p") & (F.col("kind_b") == "p")
+    one = lambda x: F.size(f"given_{x}") == 1
+    strict_c = company & same("line") & same("number") & same("legal") & (F.col("node_a") < F.col("node_b"))
+    strict_p = person & same("given") & same("initials") & (F.col("node_a") < F.col("node_b"))
+    wild_c = company & (same("line") | left_out("line")) & (same("legal") | left_out("legal")) & (same("number") | (left_out("number") & left_out("line"))) & ~(same("line") & same("legal") & same("number"))
+    starts = F.exists("given_b", lambda g: g.startswith(F.col("initials_a")))
+    wild_p = person & one("b") & ~one("a") & F.when(F.size("given_a") > 1, F.arrays_overlap("given_a", "given_b")).otherwise((F.col("initials_a") == "") | starts)
+    full = F.col("line_b").isNotNull().cast("int") + F.col("legal_b").isNotNull().cast("int")
+    found = a.join(b, "key").filter((F.col("node_a") != F.col("node_b")) & (strict_c | strict_p | wild_c | wild_p))
+    found = found.select("node_a", "node_b", "words_a", "words_b", (strict_c | strict_p).alias("strict"), full.alias("full")).distinct()
+    return found.mapInArrow(_compare, "a string, b string, exact boolean, strict boolean, full int")
+
+
+def _joined(pairs: DataFrame) -> DataFrame:
+    """Bipartite edges of pairs, for connected components."""
+    record = F.xxhash64("a", "b")
+    return pairs.select(record.alias("record"), F.col("a").alias("entity")).union(pairs.select(record, "b"))
+
+
+def linked(names: DataFrame) -> DataFrame:
+    """``name, cluster``: each distinct non-placeholder name of the column ``name`` and the least node of its cluster.
+
+    Names that are alone in their cluster are there too. Other columns and repeated rows are not looked at.
+    """
+    ship(names.sparkSession)
+    parsed = cut(names.select("name").filter("name is not null").distinct().mapInArrow(_parse_batch, _NODE))
+    nodes = parsed.drop("name").dropDuplicates(["node"])
+    pairs = cut(_pairs(nodes))
+    strict = pairs.filter("strict").select("a", "b")
+    group = components(_joined(strict)).select(F.col("entity").alias("b"), F.col("label").alias("group"))
+    wild = pairs.filter("not strict").join(group, "b", "left").withColumn("group", F.coalesce("group", "b"))
+    # of what a name may stand for, the same words count before similar ones, then the fullest
+    best = wild.groupBy("a").agg(F.max(F.struct("exact", "full")).alias("best"))
+    one = wild.join(best, "a").filter("exact = best.exact and full = best.full").groupBy("a").agg(F.min("group").alias("b"), F.max("group").alias("other")).filter("b = other").select("a", "b")
+    label = components(_joined(strict.unionByName(one))).select(F.col("entity").alias("node"), "label")
+    return parsed.select("name", "node").join(label, "node", "left").select("name", F.coalesce("label", "node").alias("cluster"))
+
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "company_relationships")
+    return t.select(F.col("source_company_name").alias("name")).union(t.select("target_company_name")).distinct()
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = cut(linked(_names(spark, sf_dir)))
+    size = c.groupBy("cluster").agg(F.count("*").alias("n"), F.min("name").alias("least")).filter("n > 1")
+    m = c.join(size, "cluster")
+    a, b = m.select("cluster", F.col("name").alias("name_a"), "n", "least"), m.select("cluster", F.col("name").alias("name_b"))
+    return a.join(b, "cluster").filter(f"name_a < name_b and (n <= {PAIRS} or name_a = least)").select("name_a", "name_b")
+
+
+def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every name with its cluster."""
+    return linked(_names(spark, sf_dir))
