@@ -15,3 +15,47 @@ r AS (SELECT DISTINCT t, k, CASE WHEN lower(trim(s)) = 'train' THEN 1 ELSE 0 END
 {_GRAMS}
 SELECT DISTINCT t AS record_table, ka AS key_a, kb AS key_b FROM c WHERE 2 * m >= na + nb - m AND sa <> sb""",
 }
+
+_SPACE = r"'^[\s\x{00a0}]+|[\s\x{00a0}]+$'"
+_ITEM_RE = r"'^ ?(?:part ?[ivx]+[ ,.:-]*)?(?:item)?[ .:#-]*(\d{1,2})\.?([a-z]?)(?:[^a-z0-9]|$)'"
+
+
+def _label(c: str) -> str:
+    return f"lower(regexp_replace({c}, {_SPACE}, '', 'g'))"
+
+
+def _item(c: str) -> str:
+    s = rf"regexp_replace(lower({c}), '[\s\x{{00a0}}_]+', ' ', 'g')"
+    part = lambda k: f"regexp_extract({s}, {_ITEM_RE}, {k})"
+    return f"CASE WHEN {part(1)} <> '' THEN 'Item ' || regexp_replace({part(1)}, '^0', '') || upper({part(2)}) END"
+
+
+_FILING = "regexp_replace(accession_number, '[^0-9]', '', 'g')"
+
+SQL |= {
+    "p3_found": f"""WITH RECURSIVE e AS (SELECT DISTINCT {_FILING} AS f, {_label("company_id")} AS c FROM company_relationships
+  WHERE length({_FILING}) = 18 AND {_FILING} <> '000000000000000000' AND {_label("company_id")} NOT IN ('co-0000000', '')),
+p AS (SELECT DISTINCT a.c AS x, b.c AS y FROM e a JOIN e b ON a.f = b.f AND a.c <> b.c),
+r AS (SELECT x, y FROM p UNION SELECT r.x, p.y FROM r JOIN p ON r.y = p.x)
+SELECT DISTINCT x AS company_a, y AS company_b FROM r WHERE x < y""",
+    "p5_found": f"""WITH i AS (SELECT DISTINCT chunk_id, {_item("item_key")} AS source FROM company_relationships WHERE chunk_id IS NOT NULL),
+t AS (SELECT {_item("item_key")} AS source, max(keep_share) AS share FROM keep_targets GROUP BY 1),
+l AS (SELECT outcome_id, chunk_id, confidence, row_number() OVER (PARTITION BY outcome_id ORDER BY evaluated_at DESC NULLS LAST, confidence DESC NULLS LAST, chunk_id DESC NULLS LAST) AS k FROM extraction_outcomes WHERE outcome_id IS NOT NULL),
+o AS (SELECT outcome_id, source, share, confidence FROM l JOIN i USING (chunk_id) JOIN t USING (source) WHERE k = 1 AND confidence BETWEEN 0 AND 1),
+c AS (SELECT *, count(*) OVER (PARTITION BY source) AS n, count(*) OVER (PARTITION BY source ORDER BY confidence DESC RANGE UNBOUNDED PRECEDING) AS above FROM o),
+x AS (SELECT source, max(confidence) AS cutoff FROM c WHERE above::DOUBLE / n >= share GROUP BY source)
+SELECT DISTINCT outcome_id FROM o JOIN x USING (source) WHERE confidence >= cutoff""",
+    "p5_cutoffs": f"""WITH i AS (SELECT DISTINCT chunk_id, {_item("item_key")} AS item_key FROM company_relationships WHERE chunk_id IS NOT NULL),
+t AS (SELECT {_item("item_key")} AS item_key, max(keep_share) AS share FROM keep_targets GROUP BY 1),
+l AS (SELECT outcome_id, chunk_id, confidence, row_number() OVER (PARTITION BY outcome_id ORDER BY evaluated_at DESC NULLS LAST, confidence DESC NULLS LAST, chunk_id DESC NULLS LAST) AS k FROM extraction_outcomes WHERE outcome_id IS NOT NULL),
+o AS (SELECT outcome_id, item_key, confidence FROM l JOIN i USING (chunk_id) WHERE k = 1 AND confidence BETWEEN 0 AND 1),
+c AS (SELECT *, count(*) OVER (PARTITION BY item_key) AS n, count(*) OVER (PARTITION BY item_key ORDER BY confidence DESC RANGE UNBOUNDED PRECEDING) AS above FROM o JOIN t USING (item_key)),
+x AS (SELECT item_key, max(confidence) AS cutoff, min(above) AS kept FROM c WHERE above::DOUBLE / n >= share GROUP BY item_key),
+n AS (SELECT item_key, count(*) AS records FROM o GROUP BY item_key)
+SELECT t.item_key, t.share, coalesce(n.records, 0) AS records, x.cutoff, coalesce(x.kept, 0) AS kept FROM t LEFT JOIN n USING (item_key) LEFT JOIN x USING (item_key)""",
+    "p6_found": f"""WITH t AS (SELECT {_label("relationship_type")} AS relationship_type, {_item("item_key")} AS item_key, target_share, min_rows FROM mix_targets),
+e AS (SELECT DISTINCT row_id, {_label("relationship_type")} AS relationship_type, {_item("item_key")} AS item_key FROM company_relationships WHERE row_id IS NOT NULL),
+c AS (SELECT t.*, count(e.row_id) AS n FROM t LEFT JOIN e USING (relationship_type, item_key) GROUP BY ALL),
+s AS (SELECT floor(sum(n) / 5) AS size FROM c)
+SELECT relationship_type, item_key FROM c, s WHERE n < min_rows OR n < target_share * size""",
+}
