@@ -3,7 +3,7 @@
 A name is parsed into what names consist of: family words, line of business, number, legal form for organisations; surname,
 given name and initials for persons. Names that parse to the same parts are one node. Nodes are blocked by the phonetic codes
 of their sorted words (and by keys that survive the typing errors which change a code: one word together with the first or last letter of the
-other, the sorted letters), compared by Jaro-Winkler similarity of the words and the nickname table, and accepted pairs are
+other, the words' first and last letters, the sorted letters), compared by Jaro-Winkler similarity of the words and the nickname table, and accepted pairs are
 clustered by connected components.
 
 Line of business, number, legal form and given name must agree. A name that leaves one of them out, or gives an initial, is
@@ -29,7 +29,7 @@ from .tables import table
 
 #: clusters of up to this many names are given as all pairs, larger ones as pairs with their least name
 PAIRS = 256
-SIMILAR = 0.82
+SIMILAR = 0.80
 SIMILAR_MEAN = 0.90
 
 # fixed values: usual words of names -------------------------------------------------------------------------------
@@ -85,8 +85,8 @@ LINES = {
     "ventures": ["vent"],
 }
 NICKNAMES = {
-    "alexander": ["alex", "sandy", "alec"],
-    "alexandra": ["alex", "sandra", "lexi", "sandy"],
+    "alexander": ["alex", "sandy", "alec", "sasha"],
+    "alexandra": ["alex", "sandra", "lexi", "sandy", "sasha"],
     "charles": ["charlie", "chuck", "chas"],
     "edward": ["ed", "eddie", "ted", "ned", "teddy"],
     "elizabeth": ["beth", "liz", "betty", "eliza", "lizzie"],
@@ -165,6 +165,25 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + prefix * 0.1 * (1 - jaro)
 
 
+def edits(a: str, b: str) -> int:
+    """Insertions, deletions, substitutions and swaps of neighbours that turn one word into the other."""
+    rows = [list(range(len(b) + 1))]
+    for i, x in enumerate(a, 1):
+        rows.append([i])
+        for j, y in enumerate(b, 1):
+            best = min(rows[i - 1][j] + 1, rows[i][j - 1] + 1, rows[i - 1][j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                best = min(best, rows[i - 2][j - 2] + 1)
+            rows[i].append(best)
+    return rows[-1][-1]
+
+
+def close(a: str, b: str, most: int) -> float:
+    """Jaro-Winkler similarity; 0 for a weak one of words that differ by more than ``most`` edits."""
+    s = jaro_winkler(a, b)
+    return s if s >= 0.88 or (s >= SIMILAR and edits(a, b) <= most) else 0.0
+
+
 def phonetic(word: str) -> str:
     """First letter and the classes of the other consonants, equal neighbours once."""
     out = [word[:1]]
@@ -193,7 +212,7 @@ def _given_of(word: str) -> set[str]:
         return set()
     close = [(jaro_winkler(word, g), g) for g in NICKNAMES if abs(len(g) - len(word)) <= 2]
     best = max(close, default=(0, ""))
-    return {best[1]} if best[0] >= 0.92 else set()
+    return {best[1]} if best[0] >= 0.89 else set()
 
 
 def parse(name: str | None) -> tuple | None:
@@ -231,15 +250,15 @@ def parse(name: str | None) -> tuple | None:
 
 def block_keys(words: list[str]) -> list[str]:
     joined = "".join(words)
-    keys = {"P" + "|".join(sorted(map(phonetic, words))), "L" + "".join(sorted(joined)), "D" + "".join(sorted(set(joined)))}
+    keys = {"P" + "|".join(sorted(map(phonetic, words))), "L" + "".join(sorted(joined)), "G" + "|".join(sorted(w[0] + w[-1] for w in words))}
     for i, w in enumerate(words):
         other = "".join(words[:i] + words[i + 1 :])
         keys |= {f"F{w}|{other[:1]}", f"E{w}|{other[-1:]}"} if other else {f"F{w[: len(w) // 2 + 1]}", f"E{w[-(len(w) // 2) - 1 :]}"}
     return sorted(keys)
 
 
-def alike(a: list[str], b: list[str]) -> bool:
-    """Whether two lists of words are spellings of the same words."""
+def alike(a: list[str], b: list[str], most: int = 2) -> bool:
+    """Whether two lists of words are spellings of the same words, with up to ``most`` edits in a word that is little similar."""
     if a == b:
         return True
     ja, jb = "".join(a), "".join(b)
@@ -249,7 +268,7 @@ def alike(a: list[str], b: list[str]) -> bool:
         return jaro_winkler(ja, jb) >= 0.93
     if len(a) == 2:
         pairs = [(a[0], b[0], a[1], b[1]), (a[0], b[1], a[1], b[0])]
-        best = max(((min(x, y), (x + y) / 2) for x, y in ((jaro_winkler(p, q), jaro_winkler(r, s)) for p, q, r, s in pairs)), key=lambda v: v[1])
+        best = max(((min(x, y), (x + y) / 2) for x, y in ((close(p, q, most), close(r, s, most)) for p, q, r, s in pairs)), key=lambda v: v[1])
         return best[0] >= SIMILAR and best[1] >= SIMILAR_MEAN
     left = list(b)
     for w in a:
@@ -280,8 +299,8 @@ def _parse_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        wa, wb = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        keep = pa.array([i for i in range(len(wa)) if alike(wa[i], wb[i])], pa.int64())
+        wa, wb, most = (batch.column(i).to_pylist() for i in (2, 3, 6))
+        keep = pa.array([i for i in range(len(wa)) if alike(wa[i], wb[i], most[i])], pa.int64())
         exact = pa.array([wa[i] == wb[i] for i in keep.to_pylist()], pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), exact, batch.column(4).take(keep), batch.column(5).take(keep)], ["a", "b", "exact", "strict", "full"])
 
@@ -302,7 +321,9 @@ def _pairs(nodes: DataFrame) -> DataFrame:
     wild_p = person & one("b") & ~one("a") & F.when(F.size("given_a") > 1, F.arrays_overlap("given_a", "given_b")).otherwise((F.col("initials_a") == "") | starts)
     full = F.col("line_b").isNotNull().cast("int") + F.col("legal_b").isNotNull().cast("int")
     found = a.join(b, "key").filter((F.col("node_a") != F.col("node_b")) & (strict_c | strict_p | wild_c | wild_p))
-    found = found.select("node_a", "node_b", "words_a", "words_b", (strict_c | strict_p).alias("strict"), full.alias("full")).distinct()
+    # without a line of business in common there is less to go by
+    most = F.when(same("line") & F.col("line_a").isNotNull(), 2).otherwise(1)
+    found = found.select("node_a", "node_b", "words_a", "words_b", (strict_c | strict_p).alias("strict"), full.alias("full"), most.alias("most")).distinct()
     return found.mapInArrow(_compare, "a string, b string, exact boolean, strict boolean, full int")
 
 
