@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..plans.ship import ship
+
 
 def content_key(line: Column) -> Column:
     """SHA-256 of a line with its terminator."""
@@ -23,12 +25,17 @@ def _canonical(text: str) -> str:
 
 
 @F.pandas_udf(StringType())
-def canonical_json(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """JSON text with sorted keys, no blanks, ASCII only."""
+def _canonical_json(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
         yield s.map(lambda t: None if t is None else _canonical(t))
 
 
+def canonical_json(text: Column) -> Column:
+    """JSON text with sorted keys, no blanks, ASCII only; null stays null."""
+    ship()
+    return _canonical_json(text)
+
+
 def rows_digest(df: DataFrame, order: str, row: Column, folded: str = "digest") -> DataFrame:
     """SHA-256 over the digests of all rows (JSON text ``row``) in the order of the unique column ``order``.
 

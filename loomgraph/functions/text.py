@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..plans.ship import ship
 from .taxonomy import NOUN, lookup
 
 # fixed values -------------------------------------------------------------------------------------------------------
@@ -134,12 +135,17 @@ def _mark(text: str | None, filer: str | None) -> str | None:
 
 
 @F.pandas_udf(StringType())
-def mark_filer_mentions(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """The text with the filer's name (case counts), first-person words and lower-case ``us`` in markers; null text stays null."""
+def _marked(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for text, filer in batches:
         yield pd.Series([_mark(t if isinstance(t, str) else None, f if isinstance(f, str) else None) for t, f in zip(text, filer)], dtype=object)
 
 
+def mark_filer_mentions(text: Column, filer: Column) -> Column:
+    """The text with the filer's name (case counts), first-person words and lower-case ``us`` in markers; null text stays null."""
+    ship()
+    return _marked(text, filer)
+
+
 def confidence_bucket(c: Column) -> Column:
     """Tenth below the confidence, clamped to 0..1, as ``0.0`` to ``1.0``; ``unknown`` for null."""
     clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))

@@ -173,7 +173,7 @@ def curve(rows: DataFrame, score: str, fractions: Sequence[float], descending: b
 
 def gate_curves(rows: DataFrame, fractions: Sequence[float] = (0.05, 0.10, 0.15, 0.20, 0.25, 0.30, 0.40), gate: str | None = None, seed: int = 42) -> DataFrame:
     """The curve of each ordering: least confidence, least agreement and their product, most errors first (oracle), random by hash."""
-    work = cut(rows.withColumns({"errors": F.col("fp") + F.col("fn"), "shuffled": F.xxhash64(F.lit(seed), "key")}))
+    work = cut(rows.withColumns({"errors": F.col("fp") + F.col("fn"), "shuffled": F.sha2(F.concat(F.lit(f"{seed}|"), F.col("key").cast("string")), 256)}))
     orders = {"confidence": ("confidence", False), "agreement": ("agreement", False), "conf_x_agree": ("conf_x_agree", False), "oracle": ("errors", True), "random": ("shuffled", False)}
     if gate:
         orders["gate"] = (gate, False)

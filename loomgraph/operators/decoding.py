@@ -15,6 +15,8 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..plans.ship import ship
+
 STOP, NONE = "[STOP]", "NONE"
 BETWEEN, NEXT = " ::", " ;"
 
@@ -302,6 +304,7 @@ def decode_table(chunks: DataFrame, scorer_of: Callable[[], Callable[[str], Scor
             cols = list(zip(*rows)) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names)
 
+    ship(chunks.sparkSession)
     return chunks.select("key", "prompt").mapInArrow(run, _RESULT)
 
 

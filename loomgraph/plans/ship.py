@@ -13,8 +13,9 @@ _PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 _SENT: set[str] = set()
 
 
-def ship(spark: SparkSession) -> None:
-    """Send the package to the workers, once an application."""
+def ship(spark: SparkSession | None = None) -> None:
+    """Send the package to the workers, once an application. Without a session, that of the thread."""
+    spark = spark or SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
     sc = spark.sparkContext
     if sc.applicationId in _SENT:
         return
