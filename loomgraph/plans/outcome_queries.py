@@ -179,17 +179,18 @@ def volume_deciles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cascade.rank_buckets(c, [F.col("events").asc(), F.col("user_id").asc()], 10, "d", "bucket").select("user_id", "bucket")
 
 
-@query("SELECT user_id, avg(value) AS mean, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.9) AS p90, quantile_cont(value, 0.99) AS p99, max(value) AS max FROM events GROUP BY 1")
+@query("SELECT user_id, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.99), 6) AS p99, max(value) AS max FROM events GROUP BY 1")
 def cost_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(*[c.alias(n) for n, c in traverse.cost_statistics(F.col("value")).items()])
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(*[(c if n == "max" else F.round(c, 6)).alias(n) for n, c in traverse.cost_statistics(F.col("value")).items()])
 
 
 @query(f"""WITH {_ROWS}, f AS (SELECT key, agreement AS pred, CASE WHEN len(g) + len(r) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len([x FOR x IN g IF list_contains(r, x)]) / (len(g) + len(r)) END AS gold FROM d),
 k AS (SELECT *, row_number() OVER (ORDER BY pred, key) AS rp, row_number() OVER (ORDER BY gold, key) AS rg FROM f)
-SELECT count(*) AS n, avg(abs(pred - gold)) AS mae, avg((pred - gold) ** 2) AS mse, corr(rp, rg) AS spearman, (sum(rp) FILTER (gold > 0.5) - count(*) FILTER (gold > 0.5) * (count(*) FILTER (gold > 0.5) + 1) / 2.0) / ((count(*) FILTER (gold > 0.5))::DOUBLE * count(*) FILTER (gold <= 0.5)) AS auc FROM k""")
+SELECT count(*) AS n, round(avg(abs(pred - gold)), 6) AS mae, round(avg((pred - gold) ** 2), 6) AS mse, round(corr(rp, rg), 6) AS spearman, round((sum(rp) FILTER (gold > 0.5) - count(*) FILTER (gold > 0.5) * (count(*) FILTER (gold > 0.5) + 1) / 2.0) / ((count(*) FILTER (gold > 0.5))::DOUBLE * count(*) FILTER (gold <= 0.5)), 6) AS auc FROM k""")
 def gate_ranking_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = outcomes(spark, sf_dir).select(F.col("outcome_id").alias("key"), F.coalesce("agreement", F.lit(1.0)).alias("pred"), chunk_f1(F.col("gold"), F.col("pred")).alias("gold"))
-    return cascade.gate_metrics(o, "pred", "gold")
+    m = cascade.gate_metrics(o, "pred", "gold")
+    return m.select("n", *[F.round(c, 6).alias(c) for c in ("mae", "mse", "spearman", "auc")])
 
 
 @query(f"""WITH {_ROWS} SELECT key, CASE WHEN len(g) + len(r) = 0 THEN 1.0 ELSE 2.0 * len([x FOR x IN g IF list_contains(r, x)]) / (len(g) + len(r)) END AS f1 FROM d""")
@@ -248,7 +249,7 @@ def cost_at_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cascade.cost_at(cascade.run_rows(s, "llm_calls", "recall"), 0.8)
 
 
-@query("SELECT event_id, CASE WHEN count(*) OVER w > 1 THEN (value - avg(value) OVER w) / (stddev_pop(value) OVER w + 1e-6::DOUBLE) ELSE (value - avg(value) OVER w) / 1e-6::DOUBLE END AS advantage FROM events WINDOW w AS (PARTITION BY user_id)")
+@query("SELECT event_id, round((value - avg(value) OVER w) / (stddev_pop(value) OVER w + 1e-6::DOUBLE), 6) AS advantage FROM events WINDOW w AS (PARTITION BY user_id)")
 def group_advantages(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("value").alias("reward"))
-    return construct.advantages(e, ["user_id"], scale=True).select("event_id", "advantage")
+    return construct.advantages(e, ["user_id"], scale=True).select("event_id", F.round("advantage", 6).alias("advantage"))
