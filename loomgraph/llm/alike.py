@@ -3,7 +3,8 @@
 How: each distinct text gets a bottom-k sketch, the k smallest values of one hash function over its shingles, after
 shingles that stand in more than ``hot_share`` of the texts were left out. The inverted lists are keyed by ``run``
 neighbouring retained values, so that boilerplate, which most texts share, makes no list long: no list can hold more
-than ``hot_share`` of the texts. Two texts in one list are a candidate. The bottom-k sketch of their union estimates the
+than ``hot_share`` of the texts. Two texts are a candidate if their overlap counts for something: two lists in common, or one
+of few texts. The bottom-k sketch of their union estimates the
 Jaccard coefficient; what lies clearly below the threshold is dropped, the rest is verified exactly.
 
 Texts made nearly wholly of frequent shingles (fewer than ``FEW`` others) are sketched over all their shingles with
@@ -32,6 +33,8 @@ from ..plans.ship import ship
 from .textkernel import BLOCK_TEXTS, Words, blocks, mix
 
 FEW = 16
+#: one value in common is enough for a candidate if its list has no more texts than this; else two are needed
+RARE = 16
 STAR = 64
 HEAVY_RUN = 6
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -206,8 +209,11 @@ def candidates(texts: DataFrame, like: Likeness, cross: bool) -> DataFrame:
         several = several.withColumns({"l": F.min("side").over(w), "h": F.max("side").over(w)}).filter("l < h")
     several = cut(several.select("key", "c", "side", "heavy", "n").distinct())
     short, long = several.filter(f"not heavy or n <= {STAR}"), several.filter(f"heavy and n > {STAR}")
-    a, b = (short.select("key", F.col("c").alias(f"c{x}"), F.col("side").alias(f"s{x}")) for x in "ab")
-    pairs = a.join(b, "key").filter("sa = 0 and sb = 1 and ca != cb" if cross else "ca < cb").select("ca", "cb")
+    a = short.select("key", F.col("c").alias("ca"), F.col("side").alias("sa"), "n", "heavy")
+    b = short.select("key", F.col("c").alias("cb"), F.col("side").alias("sb"))
+    met = a.join(b, "key").filter("sa = 0 and sb = 1 and ca != cb" if cross else "ca < cb")
+    overlap = met.groupBy("ca", "cb").agg(F.count("*").alias("lists"), F.min("n").alias("n"), F.bool_or("heavy").alias("heavy"))
+    pairs = overlap.filter(f"lists > 1 or n <= {RARE} or heavy").select("ca", "cb")
     if cross:
         first = long.groupBy("key").agg(F.min(F.when(F.col("side") == 1, F.col("c"))).alias("t"), F.min(F.when(F.col("side") == 0, F.col("c"))).alias("e"))
         star = long.join(first, "key")
