@@ -94,7 +94,7 @@ def match_candidate(target: Column, candidates: Column) -> Column:
 
 def _span_of(name: Column, text: Column) -> Column:
     """0-based ``start, end`` of the first place where the words of ``name`` stand; null if none."""
-    pattern = F.concat(F.lit(r"\b"), F.regexp_replace(name, " +", r"[\\\\W_]+"), F.lit(r"\b"))
+    pattern = F.concat(F.lit(r"\b"), F.regexp_replace(name, " +", r"[\\W_]+"), F.lit(r"\b"))
     before = F.call_function("regexp_extract", text, F.concat(F.lit("(?isU)^(.*?)(?:"), pattern, F.lit(")")), F.lit(1))
     here = F.call_function("regexp_extract", text, F.concat(F.lit("(?isU)("), pattern, F.lit(")")), F.lit(1))
     span = F.struct(F.length(before).alias("start"), (F.length(before) + F.length(here)).alias("end"))
