@@ -213,9 +213,10 @@ def chunk_rewards(parts: DataFrame, key: Sequence[str], lam: float = 0.1, escala
 
 def advantages(rewards: DataFrame, group: Sequence[str], scale: bool = False) -> DataFrame:
     """``advantage``: reward less its group's mean, divided by the group's population deviation if ``scale``."""
-    w = Window.partitionBy(*group)
-    a = F.col("reward") - F.avg("reward").over(w)
-    return rewards.withColumn("advantage", a / (F.stddev_pop("reward").over(w) + _TINY) if scale else a)
+    # aggregated before the shuffle and joined back, so that a hot group is not one task
+    level = rewards.groupBy(*group).agg(F.avg("reward").alias("_m"), F.stddev_pop("reward").alias("_s"))
+    a = F.col("reward") - F.col("_m")
+    return rewards.join(level, list(group)).withColumn("advantage", a / (F.col("_s") + _TINY) if scale else a).drop("_m", "_s")
 
 
 def critic_score(verdict: Column, faithfulness: Column) -> Column:

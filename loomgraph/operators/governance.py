@@ -152,7 +152,25 @@ def write_certificates(audited: DataFrame) -> DataFrame:
     return audited.groupBy("filing").agg(F.count_if("committed").alias("n_committed"), F.count_if(~F.col("committed")).alias("n_blocked"), F.coalesce(F.bool_and(F.when(F.col("committed"), ok)), F.lit(True)).alias("verdict"))
 
 
+_RECORD = ("chunk", "span", "route", "confidence", "extractor")
+
+
 def provenance(audited: DataFrame) -> DataFrame:
-    """Committed edges with the records of what supports them."""
-    record = F.struct("chunk", "span", "route", "confidence", "extractor")
-    return audited.filter("committed").groupBy(F.col("filer").alias("head"), "relation", F.col("target").alias("tail")).agg(F.array_sort(F.collect_list(record)).alias("provenance"))
+    """A row for each record that supports a committed edge: ``head, relation, tail`` and the record. An edge may have any number."""
+    return audited.filter("committed").select(F.col("filer").alias("head"), "relation", F.col("target").alias("tail"), *_RECORD)
+
+
+def provenance_counts(audited: DataFrame) -> DataFrame:
+    """Records and distinct chunks of each committed edge."""
+    return provenance(audited).groupBy("head", "relation", "tail").agg(F.count("*").alias("provenances"), F.count_distinct("chunk").alias("chunks"))
+
+
+def provenance_of(audited: DataFrame, edges: DataFrame) -> DataFrame:
+    """The records of the asked edges (``head, relation, tail``) as an array each; for a few edges, as a lookup."""
+    asked = provenance(audited).join(edges.select("head", "relation", "tail").distinct(), ["head", "relation", "tail"], "left_semi")
+    return asked.groupBy("head", "relation", "tail").agg(F.array_sort(F.collect_list(F.struct(*_RECORD))).alias("provenance"))
+
+
+def has_provenance(audited: DataFrame, edges: DataFrame) -> DataFrame:
+    """The asked edges that have a record."""
+    return edges.join(provenance(audited), ["head", "relation", "tail"], "left_semi")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.taxonomy import REVERSE, TYPE_OF, lookup, reverse_map
 from ..plans.lineage import cut
+from ..plans.prefix import running
 
 
 def _own(edges: DataFrame) -> list[str]:
@@ -43,9 +44,15 @@ def relations_of(edges: DataFrame) -> DataFrame:
 
 
 def neighbors(edges: DataFrame) -> DataFrame:
-    """Distinct tails of each node and relation, as an array in stored order."""
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "tail")))
-    return adjacency(edges).groupBy(*_own(edges), F.col("head").alias("node"), "relation").agg(F.transform(ordered, lambda x: x["tail"]).alias("tails"))
+    """Distinct tails of each node and relation with their ``place`` (0 first) in stored order.
+
+    The places come from one global order, so a node with any share of all edges is spread over the tasks like the others.
+    """
+    own = [*_own(edges), "node", "relation"]
+    ordered = running(adjacency(edges).withColumnRenamed("head", "node"), [*map(F.col, own), F.col("pos"), F.col("tail")], {}, "_r")
+    ordered = cut(ordered)
+    first = ordered.groupBy(*own).agg(F.min("_r").alias("_f"))
+    return ordered.join(first, own).select(*own, (F.col("_r") - F.col("_f")).alias("place"), "tail")
 
 
 def degrees(edges: DataFrame) -> DataFrame:

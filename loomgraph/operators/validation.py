@@ -52,6 +52,13 @@ def reproduction_failures(baseline: DataFrame, candidate: DataFrame) -> DataFram
     return j.select(F.array_compact(F.array(*[F.when(bad, F.lit(n)) for n, bad in tests])).alias("failures"))
 
 
+def word_counts(df: DataFrame, key: str, text: str, output: Column | None = None) -> DataFrame:
+    """``key, input_tokens, output_tokens`` by white space, where no tokenizer is at hand; null texts have none."""
+    words = lambda c: F.coalesce(F.size(F.filter(F.split(c, r"\s+"), lambda w: w != "")), F.lit(0)).cast("long")
+    out = words(output) if output is not None else F.lit(0).cast("long")
+    return df.select(F.col(key).alias("key"), words(F.col(text)).alias("input_tokens"), out.alias("output_tokens"))
+
+
 def budget_metrics(rows: DataFrame, signals: Sequence[str], budgets: Sequence[float] = BUDGETS) -> DataFrame:
     """Metrics of each signal when the floor(budget * n) rows of least (signal, key) are escalated."""
     out = None

@@ -37,9 +37,7 @@ def edge_commit_certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_AUDIT} SELECT filer AS head, relation, target AS tail, count(*) AS provenances, count(DISTINCT chunk) AS chunks FROM au WHERE a AND b GROUP BY 1, 2, 3")
 def edge_provenance_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = governance.provenance(governance.audit_edges(proposals(spark, sf_dir), _POLICIES()))
-    chunks = F.size(F.array_distinct(F.filter(F.transform("provenance", lambda x: x["chunk"]), lambda c: c.isNotNull()))).cast("long")
-    return p.select("head", "relation", "tail", F.size("provenance").cast("long").alias("provenances"), chunks.alias("chunks"))
+    return governance.provenance_counts(governance.audit_edges(proposals(spark, sf_dir), _POLICIES()))
 
 
 @query()

@@ -94,9 +94,9 @@ def top_relation_per_node(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.top_relation(closed(spark, sf_dir))
 
 
-@query(f"WITH {_CLOSED} SELECT head AS node, relation, string_agg(tail, '|' ORDER BY pos, tail) AS tails FROM closed GROUP BY 1, 2")
+@query(f"WITH {_CLOSED} SELECT head AS node, relation, row_number() OVER (PARTITION BY head, relation ORDER BY pos, tail) - 1 AS place, tail FROM closed")
 def ordered_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.neighbors(closed(spark, sf_dir)).withColumn("tails", F.array_join("tails", "|"))
+    return graph.neighbors(closed(spark, sf_dir))
 
 
 @query(f"WITH {_CLOSED} SELECT head AS node, relation, min(pos) AS pos FROM closed GROUP BY 1, 2")

@@ -17,12 +17,17 @@ def test_grounded_edges_are_committed_and_others_blocked(spark):
     c = governance.write_certificates(a).first()
     assert (c.n_committed, c.n_blocked, c.verdict) == (1, 1, True)
     p = governance.provenance(a).first()
-    assert p.tail == "Intel" and TEXT[p.provenance[0].span.start : p.provenance[0].span.end] == "Intel"
+    assert p.tail == "Intel" and TEXT[p.span.start : p.span.end] == "Intel"
 
 
 def test_same_edge_from_two_chunks_has_two_provenances(spark):
-    p = governance.provenance(audit(spark, [proposal("Intel"), proposal("Intel", "ch-2")], governance.schema_allowlist())).collect()
+    a = audit(spark, [proposal("Intel"), proposal("Intel", "ch-2")], governance.schema_allowlist())
+    asked = spark.createDataFrame([("Acme", "competitor", "Intel"), ("Acme", "competitor", "None")], "head string, relation string, tail string")
+    p = governance.provenance_of(a, asked).collect()
     assert len(p) == 1 and [x.chunk for x in p[0].provenance] == ["ch-1", "ch-2"]
+    assert governance.has_provenance(a, asked).count() == 1
+    c = governance.provenance_counts(a).first()
+    assert (c.provenances, c.chunks) == (2, 2)
 
 
 def test_floor_prefers_the_judge_and_nulls_fail(spark):
