@@ -148,3 +148,22 @@ def test_validation(spark):
     man = spark.createDataFrame([('{"exit_code": 0, "prompt": {"total": 5}}',)], "json string")
     bad = {r.path for r in validation.manifest_failures(man, {"exit_code": "0", "prompt.total": "6"}, ["hashes.test"]).collect()}
     assert bad == {"prompt.total", "hashes.test"}
+
+
+def test_brute_force_gates_over_a_fixture(spark):
+    from loomgraph.functions.text import PARTY
+    from loomgraph.operators import governance
+
+    import re
+
+    texts = ["We rely on Intel.", "They rely on Intel.", "We rely on AMD.", "", None]
+    df = spark.createDataFrame([(t, "Intel Corp") for t in texts], "text string, target string")
+    got = df.select("text", governance.rule_gates(F.col("target"), F.col("text"), ["nobody"]).alias("g")).collect()
+    for r in got:
+        t = r.text or ""
+        want = (bool(re.search(r"\bintel\b", t, re.I)), bool(re.search(PARTY, t)))
+        assert (r.g.grounded, r.g.filer_party) == want and r.g.passed == all(want)
+    person = df.select(governance.rule_gates(F.col("target"), F.col("text"), ["intel corp"])["is_company"].alias("c")).first()
+    assert person.c is False
+    judge = df.select(governance.rule_judge(governance.rule_gates(F.col("target"), F.col("text")), F.lit(True)).alias("j")).collect()
+    assert [r.j for r in judge] == [1.0, 0.0, 0.0, 0.0, 0.0]

@@ -116,3 +116,36 @@ def test_advantages_and_metrics(spark):
     assert v.l == pytest.approx(0.693147, abs=1e-6) and v.c == 1.0 and v.s == pytest.approx(1.28)
     with pytest.raises(ValueError):
         metrics.quality(F.lit(1.0), F.lit(1.0), "other")
+
+
+def test_hard_chunks_equal_a_plain_version(spark):
+    from loomgraph.functions.text import SUFFIXES
+
+    p = lambda *t: [{"rel": "r", "target": x} for x in t]
+    rows = [
+        ("k1", "We sell to Intel Corporation.", "Acme", p("Intel Corp")),
+        ("k2", "We sell to Intel Corporation.", "Acme", p("Broadcom")),
+        ("k3", "We sell to A Corp.", "Acme", p("a", "b", "c", "d")),
+        ("k4", "nothing", "Acme", []),
+        ("k5", None, "Acme", p("X")),
+    ]
+    df = spark.createDataFrame(rows, "key string, text string, filer string, triples array<struct<rel:string,target:string>>")
+    got = {r.key: r.h for r in df.select("key", construct.hard_chunk(F.col("triples"), F.col("text"), F.col("filer")).alias("h")).collect()}
+    assert got == {"k1": False, "k2": True, "k3": True, "k4": False, "k5": True} and "corp" in SUFFIXES
+    many = spark.range(100).select(F.concat(F.lit("n"), "id").alias("key"), F.lit("x").alias("text"), F.lit("f").alias("filer"), F.array().cast("array<struct<rel:string,target:string>>").alias("triples")).unionByName(df)
+    why = {r.why: r["count"] for r in construct.escalate_labels(many, "key").groupBy("why").count().collect()}
+    assert why == {"hard": 3, "sample": int(102 * 0.05)}
+
+
+def test_routes_critics_and_caps(spark):
+    df = spark.createDataFrame([("ESCALATE", 0), (None, 2), (None, 0)], "s string, n int")
+    arr = F.sequence(F.lit(1), F.col("n"))
+    got = [r.r for r in df.select(construct.route_of(F.col("s"), F.when(F.col("n") > 0, arr).otherwise(F.array().cast("array<int>"))).alias("r")).collect()]
+    assert got == ["escalate", "extract", "skip"]
+    with pytest.raises(Exception, match="sentinel"):
+        spark.createDataFrame([("OTHER",)], "s string").select(construct.route_of(F.col("s"), F.array())).collect()
+    c = spark.range(1).select(construct.critic_score(F.lit("accept"), F.lit(1.7)).alias("a"), construct.critic_score(F.lit("relabel"), F.lit(0.9)).alias("b")).first()
+    assert (c.a, c.b) == (1.0, 0.0)
+    rows = spark.range(60).select((F.col("id") % 6).alias("u"), "id")
+    g = construct.capped_groups(rows, "u", F.col("id"), 2, 3)
+    assert g.select("u").distinct().count() == 2 and g.count() == 6
