@@ -50,7 +50,7 @@ class Likeness:
     min_words: int = 1
     keep: int = 64
     run: int = 3
-    hot_share: float = 1 / 300
+    hot_share: float = 1 / 150
     hot_least: int = 64
     union: int = 64
 
