@@ -12,7 +12,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def plain_label(c: Column) -> Column:
     """Lower case without outer blanks of any kind."""
-    return F.lower(F.regexp_replace(c, r"^[\s ]+|[\s ]+$", ""))
+    return F.lower(F.regexp_replace(c, r"^[\s\u00a0]+|[\s\u00a0]+$", ""))
 
 
 def plain_split(c: Column) -> Column:
@@ -22,7 +22,7 @@ def plain_split(c: Column) -> Column:
 
 def plain_item(c: Column) -> Column:
     """``Item`` and the number with its letter, null where the text names no item."""
-    s = F.regexp_replace(F.lower(c), r"[\s _]+", " ")
+    s = F.regexp_replace(F.lower(c), r"[\s\u00a0_]+", " ")
     found = F.regexp_extract(s, r"^ ?(?:part ?[ivx]+[ ,.:-]*)?(?:item)?[ .:#-]*(\d{1,2})\.?([a-z]?)(?![a-z0-9])", 0)
     number = F.regexp_extract(found, r"(\d{1,2})\.?([a-z]?)$", 1)
     letter = F.regexp_extract(found, r"(\d{1,2})\.?([a-z]?)$", 2)
