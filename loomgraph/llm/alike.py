@@ -1,19 +1,19 @@
 """Links between texts of which at least a given share of word shingles is common, in any number of texts.
 
-How: each distinct text gets a bottom-k sketch, the k smallest values of one hash function over its shingles, after
-shingles that stand in more than ``hot_share`` of the texts were left out. The inverted lists are keyed by ``run``
-neighbouring retained values, so that boilerplate, which most texts share, makes no list long: no list can hold more
-than ``hot_share`` of the texts. Two texts are a candidate if their overlap counts for something: two lists in common, or one
-of few texts. The bottom-k sketch of their union estimates the
-Jaccard coefficient; what lies clearly below the threshold is dropped, the rest is verified exactly.
+How: the shingles of each distinct text are put in one order, the rarest first. Two texts of which at least ``m`` shingles
+are common share their first ``LEAST`` common ones (or all ``m``) within the first n - m + ``LEAST`` of each text's n; so
+only these prefixes are compared, by inverted lists, and a pair is a candidate if it shares that many. Nothing is estimated and no
+list is cut: every pair at or above the threshold is a candidate, and all candidates are verified exactly.
 
-Texts made nearly wholly of frequent shingles (fewer than ``FEW`` others) are sketched over all their shingles with
-longer runs; a list of more than ``STAR`` of those is linked to its first text instead of all pairs, the form for
-groups of near copies.
+The order may be any, as long as it is the same for all texts. Shingles in more than ``hot_share`` / 2 of the texts are collected
+with their counts and come last: at most 4 * (mean shingles of a text) / hot_share values, whatever the number of texts; all
+others are ordered by hash.
+
+Texts are dealt to blocks of about ``BLOCK``, and each pair of blocks is searched by one task, whatever the lists' lengths. A prefix is
+shuffled once for each block it meets, so shuffle and time grow with the square of the texts beyond one block.
 
 Equal texts are one class (64-bit hash of the text) from the start: copies are never paired with one another
-before the classes are linked. The hot shingles are collected: at most 4 * (mean shingles of a text) / hot_share values,
-whatever the number of texts.
+before the classes are linked.
 
 Null texts and ids take no part; texts below ``min_words`` words are linked with nothing.
 """
@@ -32,13 +32,13 @@ from ..plans.lineage import cut
 from ..plans.ship import ship
 from .textkernel import BLOCK_TEXTS, Words, blocks, mix
 
-FEW = 16
-#: one value in common is enough for a candidate if its list has no more texts than this; else two are needed
-RARE = 16
-STAR = 64
-HEAVY_RUN = 6
-_P = np.uint64(0x9E3779B97F4A7C15)
-_HEAVY = np.uint64(0x5851F42D4C957F2D)
+#: common shingles in the prefixes that make a candidate: more mean somewhat longer prefixes and far fewer candidates
+LEAST = 8
+BLOCK = 60_000
+#: matches of shingles held at once
+MATCHES = 1_000_000
+#: texts whose entries are looked up at once
+STEP = 2_000
 
 
 @dataclass(frozen=True)
@@ -48,26 +48,29 @@ class Likeness:
     words: int = 5
     threshold: float = 0.8
     min_words: int = 1
-    keep: int = 64
-    run: int = 3
-    hot_share: float = 1 / 150
-    hot_least: int = 64
-    union: int = 64
+    hot_share: float = 1 / 3000
+    hot_least: int = 16
+
+    def common(self, a, b):
+        """Shingles in common, of texts with ``a`` and ``b``, from which two texts are alike (not rounded up)."""
+        return self.threshold / (1 + self.threshold) * (a + b) - 1e-6
 
 
 def _count(like: Likeness):
-    """Task: shingles frequent in the task's part, with counts, and the number of texts under -1."""
+    """Task: shingles frequent in the task's part, with counts, and the number of texts of side 0 and 1 under -1 and -2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         value, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         waiting: list[np.ndarray] = []
         texts = size = 0
+        sides = np.zeros(2, np.int64)
 
         def merge() -> None:
             nonlocal value, count, waiting, size
-            u, at = np.unique(np.concatenate([value, *waiting]), return_inverse=True)
-            n = np.bincount(at, weights=np.concatenate([count, *(np.ones(len(x), np.int64) for x in waiting)]), minlength=len(u)).astype(np.int64)
+            fresh, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *waiting]), return_counts=True)
+            u, at = np.unique(np.concatenate([value, fresh]), return_inverse=True)
+            n = np.bincount(at, weights=np.concatenate([count, times]), minlength=len(u)).astype(np.int64)
             good = n >= like.hot_share / 8 * texts
             value, count, waiting, size = u[good], n[good], [], 0
 
@@ -75,11 +78,13 @@ def _count(like: Likeness):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             fresh = [i for i, c in enumerate(ids.tolist()) if not (c in seen or seen.add(c))]
             t = batch.column(1).take(pa.array(fresh, pa.int64())).to_pylist()
+            side = batch.column(2).to_numpy(zero_copy_only=False)[fresh]
             for a, b in blocks(t):
                 w = Words(t[a:b])
                 g, first = w.distinct_shingles(like.words)
                 enough = np.diff(w.first) >= like.min_words
                 texts += int(enough.sum())
+                sides += np.bincount(side[a:b][enough], minlength=2)
                 g = g[np.repeat(enough, np.diff(first))]
                 waiting.append(g)
                 size += len(g)
@@ -87,45 +92,25 @@ def _count(like: Likeness):
                     merge()
         merge()
         good = count >= like.hot_share / 4 * texts
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(value[good].astype(np.int64), -1)), pa.array(np.append(count[good], texts))], ["g", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(value[good].astype(np.int64), [-1, -2])), pa.array(np.append(count[good], sides))], ["g", "n"])
 
     return run
 
 
-def hot_shingles(texts: DataFrame, like: Likeness) -> np.ndarray:
-    """Ascending values of the shingles that stand in more than ``hot_share`` of the texts (columns ``c``, ``text``)."""
-    counted = texts.select("c", "text").mapInArrow(_count(like), "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
-    total = F.max(F.when(F.col("g") == -1, F.col("n"))).over(Window.partitionBy())
+def hot_shingles(texts: DataFrame, like: Likeness) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Ascending values of the shingles that stand in more than ``hot_share`` / 2 of the texts (columns ``c``, ``text``, ``side``), their
+    counts, and about how many texts each side has (a text is counted once a task)."""
+    counted = texts.select("c", "text", "side").mapInArrow(_count(like), "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    total = F.sum(F.when(F.col("g") < 0, F.col("n"))).over(Window.partitionBy())
     # after the sum, at most 4 * mean shingles / hot_share rows a task are left
-    rows = counted.withColumn("all", total).filter((F.col("g") >= 0) & (F.col("n") > F.greatest(F.lit(float(like.hot_least)), F.col("all") * (like.hot_share / 2)))).select("g")
-    return np.sort(np.array([r[0] for r in rows.collect()], dtype=np.int64)).astype(np.uint64)
-
-
-def _runs(value: np.ndarray, owner: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each ``run`` neighbouring values of one owner; of all its values where it has fewer."""
-    n = len(value)
-    if not n:
-        return np.zeros(0, np.uint64), owner
-    edge = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-    size = np.diff(np.append(edge, n))
-    short = size < run
-    whole = mix(np.add.reduceat(mix(value), edge)[short] + size[short].astype(np.uint64))
-    if n < run:
-        return whole, owner[edge][short]
-    h = np.zeros(n - run + 1, np.uint64)
-    for q in range(run):
-        h = h * _P + value[q : q + len(h)]
-    ok = owner[: len(h)] == owner[run - 1 :]
-    return np.concatenate([mix(h[ok]), whole]), np.concatenate([owner[: len(h)][ok], owner[edge][short]])
-
-
-def _bottom(value: np.ndarray, owner: np.ndarray, keep: int) -> np.ndarray:
-    first = np.searchsorted(owner, owner)
-    return np.arange(len(owner)) - first < keep
+    rows = counted.withColumn("all", total).filter((F.col("g") < 0) | (F.col("n") > F.greatest(F.lit(float(like.hot_least)), F.col("all") * (like.hot_share / 2)))).select("g", "n").collect()
+    sides = {g: n for g, n in rows if g < 0}
+    hot = np.array(sorted((g, n) for g, n in rows if g >= 0), dtype=np.int64).reshape(-1, 2)
+    return hot[:, 0].astype(np.uint64), hot[:, 1], [sides.get(-1, 0), sides.get(-2, 0)]
 
 
-def _keys(like: Likeness, hot: np.ndarray):
-    """Task: (key, c, side, heavy) of each distinct text."""
+def _prefixes(like: Likeness, hot: np.ndarray, counts: np.ndarray):
+    """Task: (c, side, n, prefix) of each distinct text: its number of shingles, and the first ones in order as 32-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -136,24 +121,102 @@ def _keys(like: Likeness, hot: np.ndarray):
             for a, b in blocks(t):
                 w = Words(t[a:b])
                 g, first = w.distinct_shingles(like.words)
-                owner = np.repeat(np.arange(b - a), np.diff(first))
-                enough = (np.diff(w.first) >= like.min_words)[owner]
-                g, owner = g[enough], owner[enough]
+                n = np.diff(first)
+                owner = np.repeat(np.arange(b - a), n)
                 at = np.minimum(np.searchsorted(hot, g), max(0, len(hot) - 1))
-                rare = hot[at] != g if len(hot) else np.ones(len(g), bool)
-                few = np.bincount(owner[rare], minlength=b - a) < FEW
-                keys, owners, heavy = [], [], []
-                for flag, pick, r in ((False, rare, like.run), (True, few[owner], HEAVY_RUN)):
-                    v, o = g[pick], owner[pick]
-                    low = _bottom(v, o, like.keep)
-                    k, o = _runs(v[low], o[low], r)
-                    keys.append(k ^ _HEAVY if flag else k)
-                    owners.append(o)
-                    heavy.append(np.full(len(k), flag))
-                k, o, h = map(np.concatenate, (keys, owners, heavy))
-                row = fresh[a:b][o]
-                k = (k ^ mix(salt[row].astype(np.uint64))).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c[row]), pa.array(side[row].astype(np.int32)), pa.array(h)], ["key", "c", "side", "heavy"])
+                often = np.where(hot[at] == g, counts[at], 0) if len(hot) else np.zeros(len(g), np.int64)
+                g = g[np.lexsort((g, often, owner))]
+                good = (np.diff(w.first) >= like.min_words) & (n > 0)
+                size = np.where(good, np.minimum(n, n - np.ceil(like.threshold * n - 1e-6).astype(np.int64) + LEAST), 0)
+                g = g[np.arange(len(g)) - first[owner] < size[owner]]
+                row = fresh[a:b][good]
+                g = (mix(g ^ mix(np.repeat(salt[row].astype(np.uint64), size[good]))) >> np.uint64(32)).astype(np.uint32)
+                ends = np.append(0, np.cumsum(size[good]) * 4).astype(np.int32)
+                prefix = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends), pa.py_buffer(g)])
+                yield pa.RecordBatch.from_arrays([pa.array(c[row]), pa.array(side[row].astype(np.int32)), pa.array(n[good].astype(np.int32)), prefix], ["c", "side", "n", "prefix"])
+
+    return run
+
+
+class _Block:
+    """Distinct texts by ascending ``n``: ``c``, ``n``, and of each prefix entry its ``token``, ``owner`` and ``place``."""
+
+    def __init__(self, c: np.ndarray, n: np.ndarray, token: np.ndarray, size: np.ndarray):
+        pick = np.unique(c, return_index=True)[1]
+        pick = pick[np.argsort(n[pick], kind="stable")]
+        self.c, self.n, size, start = c[pick], n[pick].astype(np.int64), size[pick], (np.cumsum(size) - size)[pick]
+        self.owner = np.repeat(np.arange(len(pick), dtype=np.int32), size)
+        self.first = np.append(0, np.cumsum(size))
+        self.place = (np.arange(len(self.owner)) - np.repeat(self.first[:-1], size)).astype(np.int32)
+        self.token = token[np.repeat(start, size) + self.place]
+
+
+def _search(like: Likeness, x: _Block, y: _Block, ties: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidates as indexes of ``x`` and of the texts of ``y`` with fewer shingles, or as many if ``ties``. ``x is y``: each pair once."""
+    if not len(x.c) or not len(y.c):
+        return
+    share = like.threshold / (1 + like.threshold)
+    # a listed text is the smaller one of its pairs, which bounds its prefix further
+    listed = y.place < (y.n - like.common(y.n, y.n) + LEAST)[y.owner]
+    key = (y.token[listed].astype(np.int64) << 31) | y.owner[listed]
+    order = np.argsort(key)
+    key, owner = key[order], y.owner[listed][order]
+    room = (y.n * (1 - share) + LEAST - 1 + 1e-6)[owner] - y.place[listed][order]
+    del listed, order
+    top = int(y.n[-1]) + 1
+    upto = np.searchsorted(y.n, np.arange(top + 1), "right")
+    least = np.searchsorted(y.n, np.ceil(like.threshold * x.n - 1e-6))
+    below = np.arange(len(x.c)) if x is y else np.searchsorted(y.n, x.n, "right" if ties else "left")
+    for begin in range(0, len(x.c), STEP):
+        part = slice(x.first[begin], x.first[min(begin + STEP, len(x.c))])
+        token, who = x.token[part].astype(np.int64), x.owner[part].astype(np.int64)
+        # texts of y that an entry can be alike with: a range, as they stand by size
+        n = x.n[who]
+        most = np.floor((n - x.place[part] + LEAST - 1 + 1e-6) / share - n)
+        high = np.minimum(below[who], np.where(most < 0, 0, upto[np.clip(most, 0, top).astype(np.int64)]))
+        by = np.argsort(token)
+        a, b = np.zeros(len(by), np.int64), np.zeros(len(by), np.int64)
+        a[by] = np.searchsorted(key, ((token << 31) | least[who])[by])
+        b[by] = np.searchsorted(key, ((token << 31) | high)[by])
+        some = np.flatnonzero(b > a)
+        who, a, m = who[some], a[some], (b - a)[some]
+        total = np.cumsum(m)
+        i = 0
+        while i < len(who):
+            full = np.searchsorted(total, total[i] - m[i] + MATCHES, "right")
+            j = len(who)
+            if full < len(who):  # whole texts only
+                j = max(np.searchsorted(who, who[full]), np.searchsorted(who, who[i], "right"))
+            mm = m[i:j]
+            at = np.arange(mm.sum()) + np.repeat(a[i:j] - (np.cumsum(mm) - mm), mm)
+            of = np.repeat(who[i:j], mm)
+            fits = room[at] >= (share * x.n)[of]
+            pair = np.sort(of[fits] * len(y.c) + owner[at[fits]])
+            edge = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.zeros(0, np.int64)
+            times = np.diff(np.append(edge, len(pair)))
+            u, v = np.divmod(pair[edge], len(y.c))
+            ok = times >= np.minimum(LEAST, np.ceil(like.common(x.n[u], y.n[v])))
+            yield u[ok], v[ok]
+            i = j
+
+
+def _meet(like: Likeness, cross: bool):
+    """Task: candidates ``ca``, ``cb`` of the two parts (0 and 1) of a pair of blocks, or within the one block (-1)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        part, c, n = (table.column(k).to_numpy() for k in ("part", "c", "n"))
+        prefix = [x.as_py() for x in table.column("prefix")]
+        size = np.fromiter(map(len, prefix), np.int64, len(prefix)) // 4
+        token = np.frombuffer(b"".join(prefix), np.uint32)
+        x, y = (_Block(c[at], n[at], token[np.repeat(at, size)], size[at]) for at in (part < 1, part == 1))
+        if cross or part[0] >= 0:
+            found = [(x.c[u], y.c[v]) for u, v in _search(like, x, y, True)] + [(x.c[v], y.c[u]) for u, v in _search(like, y, x, False)]
+        else:
+            found = [(x.c[u], x.c[v]) for u, v in _search(like, x, x, True)]
+        a, b = (np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in (0, 1))
+        if not cross:
+            a, b = np.minimum(a, b), np.maximum(a, b)
+        return pa.table({"ca": a[a != b], "cb": b[a != b]})
 
     return run
 
@@ -182,11 +245,7 @@ def _verify(like: Likeness):
                 twice = np.diff(np.append(np.flatnonzero(new), len(key))) == 2
                 owner = (u >> np.uint64(52)).astype(np.int64)
                 n = (b - a) // 2
-                in_sketch = _bottom(u, owner, like.union)
-                seen = np.bincount(owner[in_sketch], minlength=n)
-                estimate = np.bincount(owner[in_sketch & twice], minlength=n) / np.maximum(seen, 1)
-                slack = 4 * np.sqrt(0.25 / np.maximum(seen, 1)) * (np.bincount(owner, minlength=n) > seen)
-                ok = (words[::2] >= like.min_words) & (words[1::2] >= like.min_words) & (estimate >= like.threshold - slack)
+                ok = (words[::2] >= like.min_words) & (words[1::2] >= like.min_words)
                 shared = np.bincount(owner[twice], minlength=n)
                 union = np.bincount(owner, minlength=n)
                 jaccard = shared / np.maximum(union, 1)
@@ -200,28 +259,21 @@ def _verify(like: Likeness):
 
 
 def candidates(texts: DataFrame, like: Likeness, cross: bool) -> DataFrame:
-    """Pairs ``ca``, ``cb`` of classes that share a list. ``cross``: only of side 0 with side 1, the former first."""
-    hot = hot_shingles(texts, like)
-    lists = texts.select("c", "side", "salt", "text").mapInArrow(_keys(like, hot), "key long, c long, side int, heavy boolean")
-    w = Window.partitionBy("key")
-    several = lists.withColumn("n", F.count("*").over(w)).filter("n > 1").withColumns({"lo": F.min("c").over(w), "hi": F.max("c").over(w)}).filter("lo < hi")
-    if cross:
-        several = several.withColumns({"l": F.min("side").over(w), "h": F.max("side").over(w)}).filter("l < h")
-    several = cut(several.select("key", "c", "side", "heavy", "n").distinct())
-    short, long = several.filter(f"not heavy or n <= {STAR}"), several.filter(f"heavy and n > {STAR}")
-    a = short.select("key", F.col("c").alias("ca"), F.col("side").alias("sa"), "n", "heavy")
-    b = short.select("key", F.col("c").alias("cb"), F.col("side").alias("sb"))
-    met = a.join(b, "key").filter("sa = 0 and sb = 1 and ca != cb" if cross else "ca < cb")
-    overlap = met.groupBy("ca", "cb").agg(F.count("*").alias("lists"), F.min("n").alias("n"), F.bool_or("heavy").alias("heavy"))
-    pairs = overlap.filter(f"lists > 1 or n <= {RARE} or heavy").select("ca", "cb")
+    """Pairs ``ca``, ``cb`` of classes that may be alike. ``cross``: only of side 0 with side 1, the former first."""
+    hot, counts, sides = hot_shingles(texts, like)
+    rows = texts.select("c", "side", "salt", "text").mapInArrow(_prefixes(like, hot, counts), "c long, side int, n int, prefix binary")
+    left, right = (max(1, -(-k // BLOCK)) for k in (sides if cross else [sum(sides)] * 2))
+    block = lambda k: F.pmod(F.xxhash64("c"), F.lit(k)).cast("int")
     if cross:
-        first = long.groupBy("key").agg(F.min(F.when(F.col("side") == 1, F.col("c"))).alias("t"), F.min(F.when(F.col("side") == 0, F.col("c"))).alias("e"))
-        star = long.join(first, "key")
-        pairs = pairs.union(star.filter("side = 0 and c != t").select("c", "t")).union(star.filter("side = 1 and c != e").select("e", "c"))
+        # the task of blocks i of side 0 and j of side 1 is i * right + j
+        here = F.transform(F.sequence(F.lit(0), F.lit(right - 1)), lambda j: F.struct((block(left) * right + j).alias("task"), F.lit(0).alias("part")))
+        there = F.transform(F.sequence(F.lit(0), F.lit(left - 1)), lambda i: F.struct((i * right + block(right)).alias("task"), F.lit(1).alias("part")))
+        to = F.when(F.col("side") == 0, here).otherwise(there)
     else:
-        first = long.groupBy("key").agg(F.min("c").alias("ca"))
-        pairs = pairs.union(long.join(first, "key").filter("c != ca").select("ca", F.col("c").alias("cb")))
-    return pairs.distinct()
+        b = block(left)
+        to = F.transform(F.sequence(F.lit(0), F.lit(left - 1)), lambda j: F.struct((F.least(b, j) * left + F.greatest(b, j)).alias("task"), F.when(b == j, -1).otherwise((b > j).cast("int")).alias("part")))
+    dealt = rows.withColumn("to", F.explode(to)).select("to.task", "to.part", "c", "n", "prefix")
+    return dealt.groupBy("task").applyInArrow(_meet(like, cross), "ca long, cb long")
 
 
 def links(texts: DataFrame, same: DataFrame, like: Likeness, cross: bool = False) -> DataFrame:

@@ -75,6 +75,33 @@ def test_near_copies_that_are_all_frequent_are_linked(spark):
     assert len(seen) == 300
 
 
+def near_copies(seed, n, changed, words=143):
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(words)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for at in rng.sample(range(words), rng.randrange(*changed)):
+            w[at] = f"x{i}y{at}"
+        rows.append((f"k{i:03}", " ".join(w)))
+    return rows
+
+
+def test_many_near_copies_of_one_text_equal_brute_force(spark):
+    rows = near_copies(7, 300, (5, 16)) + corpus(8, 120)
+    want = brute(rows, near.CHUNKS)
+    assert len(want) > 10_000
+    assert pairs(spark, rows) == want
+
+
+def test_blocks_of_texts_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(alike, "BLOCK", 60)
+    rows = near_copies(9, 120, (5, 16)) + corpus(10, 90)
+    found, _ = near.similar_texts(frame(spark, rows), "key", "text")
+    got = found.filter("ca != cb").select("ca", "cb").collect()
+    assert len(got) == len(set(got)) and pairs(spark, rows) == brute(rows, near.CHUNKS)
+
+
 def test_odd_rows(spark):
     long = " ".join(WORDS * 500)
     rows = [(None, "x " * 30), ("a", None), ("b", ""), ("c", "too short"), ("d", "too short"), ("e", long), ("f", long), ("g", long + " end"), ("e", long)]
