@@ -75,24 +75,22 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of("company_relationships", "chunk_id", "chunk_text").unionByName(of("judge_examples", "example_id", "text"))
 
 
-def _cross(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``record_table, eval_key, eval_split, train_key, containment, jaccard``."""
-    found, members = cross_split_links(_records(spark, sf_dir))
-    size = members.groupBy("c", "split").agg(F.count("*").alias("n"), F.min("key").alias("least"))
-    m = members.join(size, ["c", "split"]).filter(f"n <= {COPIES} or key = least")
-    e = m.filter("split != 'train'").select("record_table", F.col("c").alias("ca"), F.col("key").alias("eval_key"), F.col("split").alias("eval_split"))
-    t = m.filter("split = 'train'").select(F.col("c").alias("cb"), F.col("key").alias("train_key"))
+def cross_split_pairs(records: DataFrame, like: alike.Likeness = CHUNKS) -> DataFrame:
+    """``record_table, eval_key, eval_split, train_key, containment, jaccard`` of all pairs of records, equal ones in full."""
+    found, members = cross_split_links(records, like)
+    e = members.filter("split != 'train'").select("record_table", F.col("c").alias("ca"), F.col("key").alias("eval_key"), F.col("split").alias("eval_split"))
+    t = members.filter("split = 'train'").select(F.col("c").alias("cb"), F.col("key").alias("train_key"))
     return found.join(e, "ca").join(t, "cb").filter("eval_key != train_key")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = _cross(spark, sf_dir)
+    x = cross_split_pairs(_records(spark, sf_dir))
     return x.select("record_table", F.least("eval_key", "train_key").alias("key_a"), F.greatest("eval_key", "train_key").alias("key_b")).distinct()
 
 
 def p2_by_split_and_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluation records that overlap with training, per table, split and item or filing."""
-    x = _cross(spark, sf_dir).groupBy("record_table", "eval_split", "eval_key").agg(F.count_distinct("train_key").alias("train_records"), F.max("containment").alias("containment"))
+    x = cross_split_pairs(_records(spark, sf_dir)).groupBy("record_table", "eval_split", "eval_key").agg(F.count_distinct("train_key").alias("train_records"), F.max("containment").alias("containment"))
     cr, je = table(spark, sf_dir, "company_relationships"), table(spark, sf_dir, "judge_examples")
     source = (
         cr.groupBy("chunk_id").agg(F.min(plain_item(F.col("item_key"))).alias("source")).select(F.lit("company_relationships").alias("record_table"), F.col("chunk_id").alias("eval_key"), "source")

@@ -172,3 +172,12 @@ def test_query_equals_sql(spark, name):
         c.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{data}/{f}'")
     df = queries.queries()[name](spark, data)
     assert {tuple(r) for r in df.collect()} == set(c.execute(queries.oracle_sql()[name]).fetchall())
+
+
+def test_cross_split_gives_every_record_of_large_classes(spark):
+    t = " ".join(WORDS[:30])
+    rows = [("t1", f"e{i:03}", "dev", t) for i in range(100)] + [("t1", f"t{i:03}", "train", t) for i in range(80)]
+    rows += [("t1", "near", "train", t + " one more"), ("t2", "u", "train", t)]
+    got = near.cross_split_pairs(spark.createDataFrame(rows, "record_table string, key string, split string, text string"))
+    train = {f"t{i:03}" for i in range(80)} | {"near"}
+    assert {(r.eval_key, r.train_key) for r in got.collect()} == {(f"e{i:03}", k) for i in range(100) for k in train}
