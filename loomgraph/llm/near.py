@@ -55,9 +55,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cross_split_links(records: DataFrame, like: alike.Likeness = CHUNKS) -> tuple[DataFrame, DataFrame]:
     """Evaluation records that also stand in training: ``(links, members)``.
 
-    ``records``: ``record_table``, ``key``, ``split`` (plain), ``text``. The hashes of the evaluation records' word n-grams
-    are partitioned, the training records scanned for hits, and for each hit the containment of the evaluation record in
-    the training record and their exact similarity are computed. Null keys, splits and texts take no part.
+    ``records``: ``record_table``, ``key``, ``split`` (plain), ``text``. Candidates come from the prefix
+    search of ``alike`` between evaluation and training texts; the containment of the evaluation record in
+    the training record and their exact similarity are computed for each. Null keys, splits and texts take no part.
     """
     rows = records.filter("key is not null and text is not null and split in ('train', 'dev', 'test')").withColumns(
         {"salt": F.xxhash64("record_table"), "side": F.when(F.col("split") == "train", 1).otherwise(0), "c": F.xxhash64("record_table", "text")}
