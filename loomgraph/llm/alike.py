@@ -44,7 +44,7 @@ SKETCH = 48
 #: fingerprints beside a run
 NEXT = 3
 #: share of a text's shingles that must not be frequent, else all are listed
-COLD = 0.6
+COLD = 0.5
 SMALL = 12
 #: orders of a text of few values at most
 ORDERS = 8
@@ -69,7 +69,7 @@ class Likeness:
     min_words: int = 1
     keep: int = 80
     run: int = 3
-    hot_share: float = 1 / 60
+    hot_share: float = 1 / 30
     hot_least: int = 16
 
     def estimate(self) -> int:
@@ -290,7 +290,7 @@ def _meet_blocks(cross: bool):
 
 
 def _sketches(like: Likeness):
-    """Task: (c, n, sketch) of each distinct text of enough words: its number of shingles and its ``SKETCH`` least hashes, filled up with ones."""
+    """Task: (c, sketch) of each distinct text of enough words: its number of shingles and its ``SKETCH`` least hashes, filled up with ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -305,33 +305,34 @@ def _sketches(like: Likeness):
                 owner = np.repeat(np.arange(b - a), n)
                 v = (mix(g) >> np.uint64(32)).astype(np.uint32)
                 v = np.minimum(v[np.lexsort((v, owner))], np.uint32(0xFFFFFFFE))
-                out = np.full((b - a, SKETCH), 0xFFFFFFFF, np.uint32)
+                out = np.full((b - a, SKETCH + 1), 0xFFFFFFFF, np.uint32)
+                out[:, 0] = n
                 place = np.arange(len(v)) - first[owner]
                 low = place < SKETCH
-                out[owner[low], place[low]] = v[low]
+                out[owner[low], place[low] + 1] = v[low]
                 good = (np.diff(w.first) >= like.min_words) & (n > 0)
-                ends = (np.arange(good.sum() + 1) * SKETCH * 4).astype(np.int32)
+                ends = (np.arange(good.sum() + 1) * (SKETCH + 1) * 4).astype(np.int32)
                 sketch = pa.Array.from_buffers(pa.binary(), int(good.sum()), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(out[good]))])
-                yield pa.RecordBatch.from_arrays([pa.array(c[fresh[a:b][good]]), pa.array(n[good].astype(np.int32)), sketch], ["c", "n", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[fresh[a:b][good]]), sketch], ["c", "sketch"])
 
     return run
 
 
 def _estimate(like: Likeness):
-    """Task: pairs ``ca``, ``cb`` of which the sketch of the union does not rule out the threshold."""
+    """Task: pairs ``ca``, ``cb`` of which the sketch of the union does not rule out the threshold, and ``n``, the shingles of the first."""
     need = like.estimate() / SKETCH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, SKETCH) for i in (2, 3)]
-            v = np.sort(np.concatenate(both, axis=1), axis=1)
+            both = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, SKETCH + 1) for i in (2, 3)]
+            v = np.sort(np.concatenate([x[:, 1:] for x in both], axis=1), axis=1)
             real = v != 0xFFFFFFFF
             twice = np.zeros(v.shape, bool)
             twice[:, 1:] = (v[:, 1:] == v[:, :-1]) & real[:, 1:]
             rank = np.cumsum(real & ~twice, axis=1)
             common = (twice & (rank <= SKETCH)).sum(1)
             keep = pa.array(common >= need * np.clip(rank[:, -1], 1, SKETCH) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["ca", "cb"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(both[0][:, 0].astype(np.int64)).filter(keep)], ["ca", "cb", "n"])
 
     return run
 
@@ -398,17 +399,15 @@ def links(texts: DataFrame, same: DataFrame, like: Likeness, cross: bool = False
     ``c`` that are linked with themselves (copies), if they have enough words.
     """
     ship(texts.sparkSession)
-    found = candidates(texts, like, cross)
-    sketch = texts.select("c", "text").mapInArrow(_sketches(like), "c long, n int, sketch binary").groupBy("c").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    found = candidates(texts, like, cross).union(same.select("c", F.col("c").alias("d")))
+    sketch = texts.select("c", "text").mapInArrow(_sketches(like), "c long, sketch binary").groupBy("c").agg(F.first("sketch").alias("sketch"))
     a, b = sketch.select(F.col("c").alias("ca"), F.col("sketch").alias("sa")), sketch.select(F.col("c").alias("cb"), F.col("sketch").alias("sb"))
-    likely = found.join(a, "ca").join(b, "cb").select("ca", "cb", "sa", "sb").mapInArrow(_estimate(like), "ca long, cb long")
-    copies = sketch.join(same.select("c"), "c", "left_semi").select(F.col("c").alias("ca"), F.col("c").alias("cb"), "n")
-    pairs = cut(likely.withColumn("n", F.lit(None).cast("int")).unionByName(copies))
+    pairs = cut(found.join(a, "ca").join(b, "cb").select("ca", "cb", "sa", "sb").mapInArrow(_estimate(like), "ca long, cb long, n long"))
     copies, pairs = pairs.filter("ca = cb"), pairs.filter("ca != cb")
     wanted = cut(pairs.select(F.col("ca").alias("c")).union(pairs.select("cb")).distinct())
     few = wanted.count() <= BROADCAST_IDS
     text = texts.select("c", "text").join(F.broadcast(wanted) if few else wanted, "c", "left_semi").groupBy("c").agg(F.first("text").alias("text"))
     a, b = text.select(F.col("c").alias("ca"), F.col("text").alias("ta")), text.select(F.col("c").alias("cb"), F.col("text").alias("tb"))
     verified = pairs.join(a, "ca").join(b, "cb").select("ca", "cb", "ta", "tb").mapInArrow(_verify(like), "ca long, cb long, shared long, jaccard double, containment double")
-    whole = copies.select("ca", "cb", F.col("n").cast("long").alias("shared"), F.lit(1.0).alias("jaccard"), F.lit(1.0).alias("containment"))
+    whole = copies.select("ca", "cb", F.col("n").alias("shared"), F.lit(1.0).alias("jaccard"), F.lit(1.0).alias("containment"))
     return cut(verified.unionByName(whole))
