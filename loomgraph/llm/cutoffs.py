@@ -38,8 +38,9 @@ def cutoffs(scores: DataFrame, targets: DataFrame) -> DataFrame:
     """
     spark = scores.sparkSession
     want = {r[0]: r[1] for r in targets.filter("source is not null").groupBy("source").agg(F.max("share")).collect()}
-    rows = scores.filter("score is not null and not isnan(score) and source is not null")
-    total = {r[0]: r[1:] for r in rows.groupBy("source").agg(F.count("*"), F.min("score"), F.max("score")).collect() if r[0] in want}
+    wanted = F.broadcast(spark.createDataFrame([(s,) for s in want], "source string"))
+    rows = scores.filter("score is not null and not isnan(score) and source is not null").join(wanted, "source", "left_semi")
+    total = {r[0]: r[1:] for r in rows.groupBy("source").agg(F.count("*"), F.min("score"), F.max("score")).collect()}
     done: dict[str, tuple[float, int]] = {}
     live: dict[str, list] = {}
     for s, (n, lo, hi) in total.items():

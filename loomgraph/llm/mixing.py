@@ -12,6 +12,7 @@ the buckets before it, and only rows of the bucket in which a category's sample
 from __future__ import annotations
 
 import heapq
+import math
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -57,11 +58,12 @@ def seats(cells: dict, size: int) -> dict:
 
 
 def cell_report(rows: DataFrame, targets: DataFrame, share: float, cell: list[str]) -> DataFrame:
-    """A row a target cell: ``eligible, wanted, seats, short`` beside the target.
+    """A row a target cell: ``eligible, wanted, seats, short, missing`` beside the target.
 
     ``rows``: ``id`` and the cell's columns, one row an id; ``targets``: the cell's columns, ``target_share``, ``min_rows``
     (read by the driver: one row for each cell; of repeated cells the one with the largest share). Null cells take no part.
-    A cell is short if its rows are fewer than ``min_rows`` or than its share of the sample.
+    A cell is short if its rows are fewer than ``min_rows`` or than its share of the sample. ``missing``: whole rows by which its seats
+    stay below what it should have (its share of the sample or ``min_rows``, whichever is more), be it for want of rows or because other cells' minimum took them.
     """
     spark = rows.sparkSession
     schema = targets.schema
@@ -72,9 +74,9 @@ def cell_report(rows: DataFrame, targets: DataFrame, share: float, cell: list[st
     count = {tuple(r[:-1]): r[-1] for r in rows.join(F.broadcast(targets.select(*cell).distinct()), cell, "left_semi").groupBy(*cell).count().collect()}
     size = int(sum(count.values()) * share)
     got = seats({c: (count.get(c, 0), t, least) for c, (t, least) in want.items()}, size)
-    out = [(*c, t, least, count.get(c, 0), t * size, got[c], count.get(c, 0) < least or count.get(c, 0) < t * size) for c, (t, least) in want.items()]
+    out = [(*c, t, least, count.get(c, 0), t * size, got[c], count.get(c, 0) < least or count.get(c, 0) < t * size, max(0, math.floor(max(t * size, least)) - got[c])) for c, (t, least) in want.items()]
     names = ", ".join(f"{c} {schema[c].dataType.simpleString()}" for c in cell)
-    return spark.createDataFrame(out, f"{names}, target_share double, min_rows int, eligible long, wanted double, seats long, short boolean")
+    return spark.createDataFrame(out, f"{names}, target_share double, min_rows int, eligible long, wanted double, seats long, short boolean, missing long")
 
 
 def sample(rows: DataFrame, report: DataFrame, cell: list[str], seed: int = SEED) -> DataFrame:

@@ -16,6 +16,25 @@ r AS (SELECT DISTINCT t, k, CASE WHEN lower(trim(s)) = 'train' THEN 1 ELSE 0 END
 SELECT DISTINCT t AS record_table, ka AS key_a, kb AS key_b FROM c WHERE 2 * m >= na + nb - m AND sa <> sb""",
 }
 
+_PAIR = r"""SELECT 'company_relationships' AS t, chunk_id AS k, split AS s, chunk_text AS x FROM company_relationships
+  UNION ALL SELECT 'judge_examples', example_id, split, text FROM judge_examples"""
+
+SQL["p2_by_split_and_source"] = rf"""WITH q AS ({_PAIR}),
+r AS (SELECT DISTINCT t, k, CASE lower(trim(s)) WHEN 'validation' THEN 'dev' ELSE lower(trim(s)) END AS s, x FROM q
+  WHERE x IS NOT NULL AND k IS NOT NULL AND lower(trim(s)) IN ('train', 'dev', 'test', 'validation')),
+u AS (SELECT t, x, row_number() OVER () AS i FROM (SELECT DISTINCT t, x FROM r)),
+m AS (SELECT t, k, s, i FROM r JOIN u USING (t, x)),
+w AS (SELECT t, i, regexp_extract_all(lower(x), '[\p{{L}}\p{{N}}]+') AS w FROM u),
+g AS (SELECT t, i, list_distinct([w[j] || ' ' || w[j + 1] || ' ' || w[j + 2] FOR j IN range(1, len(w) - 1)]) AS g FROM w WHERE len(w) >= 20),
+e AS (SELECT t, i, len(g) AS n, unnest(g) AS h FROM g),
+c AS (SELECT a.i AS a, b.i AS b, a.n AS na, b.n AS nb, count(*) AS m FROM e a JOIN e b ON a.h = b.h AND a.t = b.t GROUP BY ALL),
+l AS (SELECT a, b, m / na AS containment FROM c WHERE 2 * m >= na + nb - m),
+p AS (SELECT x.t, x.s, x.k, containment FROM m x JOIN l ON x.i = l.a JOIN m y ON y.i = l.b AND y.s = 'train' AND y.t = x.t AND y.k <> x.k WHERE x.s <> 'train'),
+v AS (SELECT t, s, k, count(*) AS n, max(containment) AS containment FROM p GROUP BY ALL),
+o AS (SELECT 'company_relationships' AS t, chunk_id AS k, min(@ITEM@) AS source FROM company_relationships GROUP BY ALL
+  UNION ALL SELECT 'judge_examples', example_id, min(filing) FROM judge_examples GROUP BY ALL)
+SELECT t AS record_table, s AS split, source, count(*) AS records, sum(n)::BIGINT AS train_records, round(avg(containment), 6) AS mean_containment FROM v LEFT JOIN o USING (t, k) GROUP BY t, s, source"""
+
 _SPACE = r"'^[\s\x{00a0}]+|[\s\x{00a0}]+$'"
 _ITEM_RE = r"'^ ?(?:part ?[ivx]+[ ,.:-]*)?(?:item)?[ .:#-]*(\d{1,2})\.?([a-z]?)(?:[^a-z0-9]|$)'"
 
@@ -30,6 +49,8 @@ def _item(c: str) -> str:
     return f"CASE WHEN {part(1)} <> '' THEN 'Item ' || regexp_replace({part(1)}, '^0', '') || upper({part(2)}) END"
 
 
+SQL["p2_by_split_and_source"] = SQL["p2_by_split_and_source"].replace("@ITEM@", _item("item_key"))
+
 _FILING = "regexp_replace(accession_number, '[^0-9]', '', 'g')"
 
 SQL |= {
@@ -53,6 +74,15 @@ c AS (SELECT *, count(*) OVER (PARTITION BY item_key) AS n, count(*) OVER (PARTI
 x AS (SELECT item_key, max(confidence) AS cutoff, min(above) AS kept FROM c WHERE above::DOUBLE / n >= share GROUP BY item_key),
 n AS (SELECT item_key, count(*) AS records FROM o GROUP BY item_key)
 SELECT t.item_key, t.share, coalesce(n.records, 0) AS records, x.cutoff, coalesce(x.kept, 0) AS kept FROM t LEFT JOIN n USING (item_key) LEFT JOIN x USING (item_key)""",
+    "p6_cells": f"""WITH t AS (SELECT {_label("relationship_type")} AS relationship_type, {_item("item_key")} AS item_key, target_share, min_rows FROM mix_targets),
+e AS (SELECT DISTINCT row_id, {_label("relationship_type")} AS relationship_type, {_item("item_key")} AS item_key FROM company_relationships WHERE row_id IS NOT NULL),
+r AS (SELECT t.*, row_number() OVER (PARTITION BY relationship_type, item_key) AS r FROM t JOIN e USING (relationship_type, item_key)),
+s AS (SELECT floor(count(*) / 5)::BIGINT AS size FROM r),
+o AS (SELECT *, row_number() OVER (ORDER BY r > min_rows, CASE WHEN r > min_rows THEN (r - 0.5) / target_share END, relationship_type, item_key) AS place FROM r),
+g AS (SELECT relationship_type, item_key, count(*) AS eligible, count_if(place <= size OR r <= min_rows) AS seats FROM o, s GROUP BY ALL)
+SELECT relationship_type, item_key, target_share, min_rows, coalesce(eligible, 0) AS eligible, round(target_share * size, 6) AS wanted, coalesce(seats, 0) AS seats,
+  coalesce(eligible, 0) < min_rows OR coalesce(eligible, 0) < target_share * size AS short, greatest(0, floor(greatest(target_share * size, min_rows)) - coalesce(seats, 0))::BIGINT AS missing
+FROM t CROSS JOIN s LEFT JOIN g USING (relationship_type, item_key)""",
     "p6_found": f"""WITH t AS (SELECT {_label("relationship_type")} AS relationship_type, {_item("item_key")} AS item_key, target_share, min_rows FROM mix_targets),
 e AS (SELECT DISTINCT row_id, {_label("relationship_type")} AS relationship_type, {_item("item_key")} AS item_key FROM company_relationships WHERE row_id IS NOT NULL),
 c AS (SELECT t.*, count(e.row_id) AS n FROM t LEFT JOIN e USING (relationship_type, item_key) GROUP BY ALL),
