@@ -9,6 +9,11 @@ clustered by connected components.
 Line of business, number, legal form and given name must agree. A name that leaves one of them out, or gives an initial, is
 linked with the one fuller name it can stand for; if it can stand for several different ones, with none of them.
 
+What is a line of business, a legal form or a given name, and which of them is short for which, is partly public knowledge
+(the tables below, a parameter) and for the rest learned from all names at hand (``learn``): a word that comes last or next to last beside
+many different words is a line or form, one that comes first beside many surnames and never in a company's name is a given name, and one is short for
+another if it begins or abridges it and stands beside the same words.
+
 Nulls, empty strings and placeholders name nobody. Names are compared without case, accents, punctuation and titles.
 """
 
@@ -17,6 +22,8 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -205,47 +212,141 @@ def words_of(name: str) -> list[str]:
     return re.findall(r"[a-z0-9]+", s)
 
 
-def _given_of(word: str) -> set[str]:
+#: different words beside a word that make it a line of business or legal form; a given name. The larger of the number and the share of all names
+LINE_BESIDE, GIVEN_BESIDE = (20, 1 / 2000), (8, 1 / 5000)
+#: share of a short form's neighbours that the long form must have too, and how many at least
+SHARED, SHARED_LEAST = 0.25, 3
+#: rows of a block that one task compares at most
+HOT = 1_000
+
+
+@dataclass(frozen=True)
+class Lexicon:
+    """Learned legal forms, lines of business with their full forms, and given names with the names they may stand for."""
+
+    legal: frozenset = frozenset()
+    line: dict = field(default_factory=dict)
+    given: dict = field(default_factory=dict)
+
+
+def _known_given(word: str, lexicon: Lexicon) -> tuple[frozenset, bool]:
+    """The given names that a word may stand for, and whether it is one as written."""
     if word in _GIVEN:
-        return _GIVEN[word]
+        return frozenset(_GIVEN[word]), True
+    if word in lexicon.given:
+        return frozenset(lexicon.given[word]), True
     if len(word) < 5:
-        return set()
-    close = [(jaro_winkler(word, g), g) for g in NICKNAMES if abs(len(g) - len(word)) <= 2]
+        return frozenset(), False
+    close = [(jaro_winkler(word, g), g) for names in (NICKNAMES, lexicon.given) for g in names if abs(len(g) - len(word)) <= 2 and len(g) >= 5]
     best = max(close, default=(0, ""))
-    return {best[1]} if best[0] >= 0.89 else set()
-
-
-def parse(name: str | None) -> tuple | None:
-    """``(kind, words, line, number, legal, given, initials)``, None if the name names nobody."""
-    if name is None:
-        return None
-    words = words_of(name)
-    if " ".join(words) in PLACEHOLDERS:
-        return None
-    titled = any(w in TITLES for w in words)
-    words = [w for w in words if w not in TITLES and w not in JOINERS]
-    legal = sorted({_LEGAL[w] for w in words if w in _LEGAL})
-    rest = [w for w in words if w not in _LEGAL]
-    line = sorted({_LINE[w] for w in rest if w in _LINE})
-    own = [w for w in rest if w not in _LINE]
-    number = next((w for w in own if w.isdigit() or (_NUMBER.fullmatch(w) and len(w) <= 4)), None) if line or legal else None
-    if number:
-        own.remove(number)
-    initials = "".join(w for w in own if len(w) == 1)
-    own = [w for w in own if len(w) > 1]
-    if not own:
-        own = [w for w in rest if len(w) > 1] or rest or words
-        line = []
-    if not legal and not line:
-        given = [(w, _given_of(w)) for w in own]
-        known = [(w, g) for w, g in given if g]
-        if known and len(own) >= 2:
-            exact = [x for x in known if x[0] in _GIVEN] or known
-            first = exact[0]
-            return "p", sorted(w for w in own if w != first[0]), None, None, None, sorted(first[1]), initials
-        if len(own) == 1 and initials or titled and len(own) == 1:
-            return "p", own, None, None, None, [], initials
-    return "c", sorted(own), " ".join(line) or None, number, " ".join(legal) or None, [], initials
+    return (frozenset(lexicon.given.get(best[1], {best[1]})) if best[0] >= 0.89 else frozenset()), False
+
+
+class Parser:
+    """Splits names into parts by the tables and a learned lexicon."""
+
+    def __init__(self, lexicon: Lexicon | None = None):
+        self.lexicon = lexicon or Lexicon()
+        self._given = lru_cache(1 << 18)(lambda w: _known_given(w, self.lexicon))
+
+    def parse(self, name: str | None) -> tuple | None:
+        """``(kind, words, line, number, legal, given, initials)``, None if the name names nobody."""
+        if name is None:
+            return None
+        words = words_of(name)
+        if " ".join(words) in PLACEHOLDERS:
+            return None
+        titled = any(w in TITLES for w in words)
+        words = [w for w in words if w not in TITLES and w not in JOINERS]
+        forms = lambda w: _LEGAL.get(w) or (w if w in self.lexicon.legal else None)
+        trade = lambda w: _LINE.get(w) or self.lexicon.line.get(w)
+        legal = sorted({forms(w) for w in words if forms(w)})
+        rest = [w for w in words if not forms(w)]
+        line = sorted({trade(w) for w in rest if trade(w)})
+        own = [w for w in rest if not trade(w)]
+        number = next((w for w in own if w.isdigit() or (_NUMBER.fullmatch(w) and len(w) <= 4)), None) if line or legal else None
+        if number:
+            own.remove(number)
+        initials = "".join(w for w in own if len(w) == 1)
+        own = [w for w in own if len(w) > 1]
+        if not own:
+            own = [w for w in rest if len(w) > 1] or rest or words
+            line = []
+        if not legal and not line:
+            given = [(w, *self._given(w)) for w in own]
+            known = [x for x in given if x[1]]
+            if known and len(own) >= 2:
+                first = ([x for x in known if x[2]] or known)[0]
+                return "p", sorted(w for w in own if w != first[0]), None, None, None, sorted(first[1]), initials
+            if len(own) == 1 and initials or titled and len(own) == 1:
+                return "p", own, None, None, None, [], initials
+        return "c", sorted(own), " ".join(line) or None, number, " ".join(legal) or None, [], initials
+
+
+def parse(name: str | None, lexicon: Lexicon | None = None) -> tuple | None:
+    return Parser(lexicon).parse(name)
+
+
+def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each word of a name that no table has: the word, its place, whether the name is a company's, and the words beside it."""
+    for batch in batches:
+        out = []
+        for name in batch.column(0).to_pylist():
+            words = [w for w in words_of(name) if w not in TITLES and w not in JOINERS]
+            company = any(w in _LEGAL or w in _LINE for w in words)
+            own = [w for w in words if len(w) > 1 and w not in _LEGAL and not w.isdigit() and not _NUMBER.fullmatch(w)]
+            turned = not company and "," in name and len(own) == 2
+            named = [w for w in own if w not in _LINE]
+            for i, w in enumerate(own[::-1] if turned else own):
+                if w not in _LINE and len(own) > 1:
+                    out.append((w, i == 0, i + 2 >= len(own) and len(own) > 2, i + 1 == len(own), company, len(own), " ".join(sorted(x for x in named if x != w))))
+        cols = list(zip(*out)) if out else [()] * 7
+        kinds = [pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int32(), pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["word", "first", "late", "last", "company", "words", "beside"])
+
+
+def short_for(a: str, b: str) -> bool:
+    """Whether ``a`` may be short for ``b``: its beginning (also with an ending in y or ie), its end, or some of its letters in order."""
+    stem = a[:-2] if a.endswith("ie") else a[:-1] if a.endswith("y") else a
+    stem = stem[:-1] if len(stem) > 3 and stem[-1] == stem[-2] else stem
+    if len(stem) >= len(b) or len(a) < 3:
+        return False
+    if b.startswith(a) or (len(stem) >= 3 and b.startswith(stem)) or (4 <= len(a) < len(b) and b.endswith(a)):
+        return True
+    at = iter(b)
+    return len(a) < len(b) and len(a) <= 5 and a[0] == b[0] and all(c in at for c in a) and sum(c in "aeiou" for c in a) <= 1
+
+
+def learn(names: DataFrame) -> Lexicon:
+    """A lexicon of the distinct names of the column ``name``.
+
+    Only words beside at least a fixed share of all names' words reach the driver: at most a few times 5,000, whatever the number of names.
+    """
+    total = names.count()
+    words = cut(names.mapInArrow(_beside, "word string, first boolean, late boolean, last boolean, company boolean, words int, beside string").filter("beside != ''").distinct())
+    share = lambda c: F.avg(F.col(c).cast("int")).alias(c)
+    each = words.groupBy("word").agg(F.count_distinct("beside").alias("n"), share("first"), share("late"), share("last"), share("company"))
+    least = lambda x: max(x[0], x[1] * total)
+    # a short form is rarer than what it is short for
+    rows = each.filter((F.col("n") >= least(GIVEN_BESIDE)) & (((F.col("first") >= 0.8) & (F.col("company") <= 0.1)) | (F.col("late") >= 0.8))).collect()
+    trade = {r.word: r for r in rows if r.late >= 0.8 and r.n >= least(GIVEN_BESIDE)}
+    given = {r.word: r.n for r in rows if r.first >= 0.8 and r.company <= 0.1}
+    if not trade and not given:
+        return Lexicon()
+    spark = names.sparkSession
+    some = F.broadcast(spark.createDataFrame([(w,) for w in [*trade, *given]], "word string"))
+    beside = cut(words.join(some, "word", "left_semi").select("word", "beside").distinct())
+    pairs = beside.alias("x").join(beside.alias("y"), F.expr("x.beside = y.beside and x.word != y.word and length(x.word) <= length(y.word)")).groupBy(F.col("x.word").alias("a"), F.col("y.word").alias("b")).agg(F.count("*").alias("n")).filter(F.col("n") >= SHARED_LEAST)
+    count = {w: r.n for w, r in trade.items()} | given
+    full: dict[str, set[str]] = {}
+    for a, b, n in pairs.collect():
+        if (a in trade) == (b in trade) and n >= SHARED * count[a] and short_for(a, b):
+            full.setdefault(a, set()).add(b)
+    common = {w for w, r in trade.items() if r.n >= least(LINE_BESIDE)}
+    trade = {w: r for w, r in trade.items() if w in common or full.get(w, set()) & common}
+    legal = frozenset(w for w, r in trade.items() if r.last >= 0.9 and len(w) <= 5 and w not in full and not any(w in f for f in full.values()))
+    line = {w: max(full.get(w, {w}) & set(trade) or {w}, key=lambda x: (count[x], x)) for w in trade if w not in legal}
+    return Lexicon(legal, line, {w: tuple(sorted(full.get(w, {w}))) for w in given})
 
 
 def block_keys(words: list[str]) -> list[str]:
@@ -282,19 +383,23 @@ def alike(a: list[str], b: list[str], most: int = 2) -> bool:
 _NODE = "name string, node string, kind string, words array<string>, line string, number string, legal string, given array<string>, initials string, keys array<string>"
 
 
-def _parse_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for name in batch.column(0).to_pylist():
-            p = parse(name)
-            if p:
-                kind, words, line, number, legal, given, initials = p
-                first = initials[:1] if kind == "p" and not given else ""
-                node = "\x1f".join((kind, " ".join(words), line or "", number or "", legal or "", "/".join(given), first))
-                out.append((name, node, kind, words, line, number, legal, given, first, block_keys(words)))
-        cols = list(zip(*out)) if out else [()] * 10
-        kinds = [pa.string()] * 3 + [pa.list_(pa.string())] + [pa.string()] * 3 + [pa.list_(pa.string()), pa.string(), pa.list_(pa.string())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [f.split()[0] for f in _NODE.split(", ")])
+def _parse_batch(lexicon):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parser = Parser(lexicon.value)
+        for batch in batches:
+            out = []
+            for name in batch.column(0).to_pylist():
+                p = parser.parse(name)
+                if p:
+                    kind, words, line, number, legal, given, initials = p
+                    first = initials[:1] if kind == "p" and not given else ""
+                    node = "\x1f".join((kind, " ".join(words), line or "", number or "", legal or "", "/".join(given), first))
+                    out.append((name, node, kind, words, line, number, legal, given, first, block_keys(words)))
+            cols = list(zip(*out)) if out else [()] * 10
+            kinds = [pa.string()] * 3 + [pa.list_(pa.string())] + [pa.string()] * 3 + [pa.list_(pa.string()), pa.string(), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [f.split()[0] for f in _NODE.split(", ")])
+
+    return run
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,7 +413,20 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _pairs(nodes: DataFrame) -> DataFrame:
     """Compared pairs ``a, b, exact, strict, full``: ``strict`` if all parts agree, else ``a`` leaves out what ``b`` (with ``full`` parts) has."""
     keyed = nodes.select("node", "kind", "words", "line", "number", "legal", "given", "initials", F.explode("keys").alias("key"))
-    a, b = (keyed.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "kind", "words", "line", "number", "legal", "given", "initials")]) for x in "ab")
+    # a company is met under its own parts and, by names that leave some out, under what is left of them; a person under the given names
+    parts = lambda line, legal, number: F.concat_ws("\x1f", F.lit("c"), F.coalesce(line, F.lit("\x1e")), F.coalesce(legal, F.lit("\x1e")), F.coalesce(number, F.lit("\x1e")))
+    line, legal, number, none = F.col("line"), F.col("legal"), F.col("number"), F.lit(None).cast("string")
+    company = F.array_distinct(F.array(parts(line, legal, number), parts(none, legal, number), parts(line, none, number), parts(none, none, number), parts(none, legal, none), parts(none, none, none)))
+    person = F.array(F.lit("p"))
+    is_company = F.col("kind") == "c"
+    a = keyed.withColumn("block", F.xxhash64("key", F.when(is_company, parts(line, legal, number)).otherwise("p")))
+    b = keyed.withColumn("block", F.explode(F.when(is_company, company).otherwise(person))).withColumn("block", F.xxhash64("key", "block"))
+    # large blocks are split: b's rows by hash, a's rows to each part
+    many = cut(b.groupBy("block").count().filter(F.col("count") > HOT).select("block", F.ceil(F.col("count") / HOT).cast("int").alias("parts")))
+    split = F.coalesce("parts", F.lit(1))
+    a = a.join(many, "block", "left").withColumn("part", F.explode(F.sequence(F.lit(0), split - 1))).drop("parts", "key")
+    b = b.join(many, "block", "left").withColumn("part", F.pmod(F.xxhash64("node"), split).cast("int")).drop("parts", "key")
+    a, b = (x.select("block", "part", *[F.col(c).alias(f"{c}_{y}") for c in ("node", "kind", "words", "line", "number", "legal", "given", "initials")]) for x, y in ((a, "a"), (b, "b")))
     same = lambda c: F.col(f"{c}_a").eqNullSafe(F.col(f"{c}_b"))
     left_out = lambda c: F.col(f"{c}_a").isNull() & F.col(f"{c}_b").isNotNull()
     company = (F.col("kind_a") == "c") & (F.col("kind_b") == "c")
@@ -320,7 +438,7 @@ def _pairs(nodes: DataFrame) -> DataFrame:
     starts = F.exists("given_b", lambda g: g.startswith(F.col("initials_a")))
     wild_p = person & one("b") & ~one("a") & F.when(F.size("given_a") > 1, F.arrays_overlap("given_a", "given_b")).otherwise((F.col("initials_a") == "") | starts)
     full = F.col("line_b").isNotNull().cast("int") + F.col("legal_b").isNotNull().cast("int")
-    found = a.join(b, "key").filter((F.col("node_a") != F.col("node_b")) & (strict_c | strict_p | wild_c | wild_p))
+    found = a.join(b, ["block", "part"]).filter((F.col("node_a") != F.col("node_b")) & (strict_c | strict_p | wild_c | wild_p))
     # without a line of business in common there is less to go by
     most = F.when(same("line") & F.col("line_a").isNotNull(), 2).otherwise(1)
     found = found.select("node_a", "node_b", "words_a", "words_b", (strict_c | strict_p).alias("strict"), full.alias("full"), most.alias("most")).distinct()
@@ -339,7 +457,9 @@ def linked(names: DataFrame) -> DataFrame:
     Names that are alone in their cluster are there too. Other columns and repeated rows are not looked at.
     """
     ship(names.sparkSession)
-    parsed = cut(names.select("name").filter("name is not null").distinct().mapInArrow(_parse_batch, _NODE))
+    distinct = cut(names.select("name").filter("name is not null").distinct())
+    lexicon = names.sparkSession.sparkContext.broadcast(learn(distinct))
+    parsed = cut(distinct.mapInArrow(_parse_batch(lexicon), _NODE))
     nodes = parsed.drop("name").dropDuplicates(["node"])
     pairs = cut(_pairs(nodes))
     strict = pairs.filter("strict").select("a", "b")
