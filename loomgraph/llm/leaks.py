@@ -9,8 +9,9 @@ windows' shingles; whether the words are the same one by one is told apart.
 Invisible characters are dropped and compatibility forms of letters count as the plain letters. Null and empty texts,
 and items of fewer than ``WINDOW`` words, repeat nothing. A null id takes no part. Texts are read whole.
 
-The held-out items are the query set. They go to the tasks in blocks of at most ``ITEMS_AT_ONCE`` items; each block is one
-pass over the documents.
+The held-out items are the query set. Their index is built once a block of about ``ITEM_CHARS`` characters (at most about
+100 bytes of index for each of their words are broadcast) and each block is one pass over the documents: time grows with the documents times the
+blocks of items, and inside a block with the windows that share 16 bits, at most about 20 a block value when it is full.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ WINDOW = 13
 SHINGLE = 3
 RADIUS = 3
 SIMILAR = 0.8
-ITEMS_AT_ONCE = 20_000
+ITEM_CHARS = 2_000_000
 _PER = WINDOW - SHINGLE + 1
 _STEP = 1 << 15
 
@@ -141,7 +142,7 @@ class ItemIndex:
 
 def _search(index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = ItemIndex(*index.value)
+        items = index.value
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in blocks(texts):
@@ -161,15 +162,17 @@ def _search(index):
 def leaked(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``doc_id, item_id, windows, same_windows, similarity``: windows of an item that stand in a document, nearly or word for word."""
     ship(docs.sparkSession)
-    rows = items.select(F.col("item_id").cast("long"), "text").filter("item_id is not null").distinct().orderBy("item_id").collect()
+    rows = items.select(F.col("item_id").cast("long"), "text").filter("item_id is not null and text is not null").distinct()
+    chars = rows.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    parts = max(1, -(-chars // ITEM_CHARS))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
     out = None
-    for i in range(0, max(1, len(rows)), ITEMS_AT_ONCE):
-        part = rows[i : i + ITEMS_AT_ONCE]
-        index = docs.sparkSession.sparkContext.broadcast(([r[0] for r in part], [r[1] for r in part]))
+    for i in range(parts):
+        part = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == i).orderBy("item_id", "text").collect()
+        index = docs.sparkSession.sparkContext.broadcast(ItemIndex([r[0] for r in part], [r[1] for r in part]))
         found = texts.mapInArrow(_search(index), "doc_id long, item_id long, windows long, same_windows long, similarity double")
         out = found if out is None else out.unionByName(found)
-    return out
+    return out.groupBy("doc_id", "item_id").agg(F.sum("windows").alias("windows"), F.sum("same_windows").alias("same_windows"), F.max("similarity").alias("similarity"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

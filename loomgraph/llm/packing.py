@@ -8,7 +8,8 @@ lengths than tokens in a container, whatever the number of items), and a plan ma
 classes: a container is opened with the longest length left and filled with the longest that still fits, and the same filling is repeated while
 the counts last. The plan has at most a few entries a length; the items never leave the workers.
 
-An item longer than the capacity is cut into full pieces, each a container of its own, and a rest; no other item is cut. Null texts
+An item longer than the capacity is cut into full pieces, each a container of its own (numbered by partition counts, without
+moving anything), and a rest; no other item is cut. Ranks are had in buckets of a class, more of them the larger the largest class is. Null texts
 and empty texts have no tokens, take no room and get no container (null). Null ids take no part.
 """
 
@@ -32,6 +33,10 @@ TOKENIZER = os.environ.get("LOOMGRAPH_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: about the items of a class that are ranked in one bucket
+BUCKET = 20_000
+
+
 def _token_counts(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import base64
@@ -111,7 +116,10 @@ def _place(stretches):
 
 
 def pack(items: DataFrame, capacity: int) -> DataFrame:
-    """``id, piece, size, container``: a container number for each item (``id``, ``tokens``; one row an id)."""
+    """``id, piece, size, container``: a container number for each item (``id``, ``tokens``; one row an id).
+
+    ``items`` should be materialised (``cut``): the numbers of full pieces follow the order of its partitions.
+    """
     if capacity < 1:
         raise ValueError("a container must hold a token at least")
     spark = items.sparkSession
@@ -119,12 +127,25 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
     n = F.greatest(F.ceil(F.col("tokens") / capacity), F.lit(1))
     pieces = items.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
     pieces = pieces.select("id", "piece", F.least(F.lit(capacity), F.col("tokens") - F.col("piece") * capacity).cast("long").alias("size"))
-    filled = pieces.filter("size > 0")
-    counts = filled.groupBy("size").count().collect()  # at most a row for each size up to the capacity
-    stretches = spark.sparkContext.broadcast(plan(np.array([r[0] for r in counts], np.int64), np.array([r[1] for r in counts], np.int64), capacity))
-    ranked = group_rank(filled, ["size"], ["id", "piece"]).select("id", "piece", "size", "rank")
+    # full pieces of longer items need no plan: each fills a container
+    full = pieces.filter(F.col("size") == capacity).withColumn("_m", F.monotonically_increasing_id())
+    filled = pieces.filter((F.col("size") > 0) & (F.col("size") < capacity))
+    counts = [tuple(r) for r in filled.groupBy("size").count().collect()]  # at most a row for each size up to the capacity
+    stretches = plan(np.array([r[0] for r in counts], np.int64), np.array([r[1] for r in counts], np.int64), capacity)
+    held = dict(counts)
+    # containers of the plan: those of each stretch's last item
+    ends = [c + (next_ - 1 - f) // k for s, x in stretches.items() for (f, c, k), next_ in zip(x, [*(y[0] for y in x[1:]), held[s]])]
+    first, offsets = max(ends, default=-1) + 1, []
+    stretches = spark.sparkContext.broadcast(stretches)
+    for part, n in sorted(full.groupBy(F.shiftright("_m", 33).cast("long").alias("_p")).count().collect()):  # a row a partition
+        offsets.append((part, first))
+        first += n
+    offset = F.broadcast(spark.createDataFrame(offsets, "_p long, _first long"))
+    full = full.withColumn("_p", F.shiftright("_m", 33).cast("long")).join(offset, "_p").select("id", "piece", "size", (F.col("_first") + F.col("_m").bitwiseAND((1 << 33) - 1)).alias("container"))
+    bits = min(24, max(4, (max((r[1] for r in counts), default=0) // BUCKET).bit_length()))
+    ranked = group_rank(filled, ["size"], ["id", "piece"], bits).select("id", "piece", "size", "rank")
     placed = ranked.mapInArrow(_place(stretches), "id long, piece long, size long, container long")
-    return placed.unionByName(pieces.filter("size <= 0").withColumn("container", F.lit(None).cast("long")))
+    return placed.unionByName(full).unionByName(pieces.filter("size <= 0").withColumn("container", F.lit(None).cast("long")))
 
 
 def _containers(spark: SparkSession, sf_dir: str) -> DataFrame:

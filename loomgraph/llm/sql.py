@@ -89,3 +89,12 @@ c AS (SELECT t.*, count(e.row_id) AS n FROM t LEFT JOIN e USING (relationship_ty
 s AS (SELECT floor(sum(n) / 5) AS size FROM c)
 SELECT relationship_type, item_key FROM c, s WHERE n < min_rows OR n < target_share * size""",
 }
+
+# invisible characters go, compatibility forms that occur become plain letters
+_PLAIN = r"lower(replace(replace(regexp_replace(text, '\p{Cf}', '', 'g'), 'ﬁ', 'fi'), 'ﬂ', 'fl'))"
+_RUNS = "unnest(list_distinct([array_to_string(w[i : i + 12], ' ') FOR i IN range(1, len(w) - 11)]))"
+
+SQL["p8_found"] = rf"""WITH d AS (SELECT doc_id, regexp_extract_all({_PLAIN}, '[\p{{L}}\p{{N}}]+') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, regexp_extract_all({_PLAIN}, '[\p{{L}}\p{{N}}]+') AS w FROM heldout_items WHERE text IS NOT NULL),
+x AS (SELECT doc_id, {_RUNS} AS g FROM d), y AS (SELECT item_id, {_RUNS} AS g FROM i)
+SELECT DISTINCT doc_id, item_id FROM x JOIN y USING (g)"""
