@@ -20,6 +20,8 @@ class HopPolicy:
     name: str
     check: Column
     mandatory: bool = True
+    #: sourced edges (``[qid,] head, relation``) that the check looks at
+    sources: DataFrame | None = None
 
     def passed(self) -> Column:
         return (F.col("action.type") == "STOP") | F.coalesce(self.check, F.lit(False))
@@ -38,16 +40,14 @@ def confidence_floor(floor: float = 0.0, mandatory: bool = True) -> HopPolicy:
     return HopPolicy("confidence_floor", F.col("action.score") >= floor, mandatory)
 
 
-def provenance_required(sourced: DataFrame | None = None, mandatory: bool = True) -> HopPolicy:
-    """Some frontier node must have a sourced edge of the relation.
+def provenance_required(sources: DataFrame | None = None, mandatory: bool = True) -> HopPolicy:
+    """Some frontier node must have a sourced edge of the relation; without ``sources`` (``[qid,] head, relation``) no expansion passes.
 
-    The state must have a column ``sourced`` (array of ``node|relation`` of the question's graph), as a semi-join with the
-    sources gives; without sources nothing passes.
+    The traversal joins the sources with the frontier and gives the relations that are sourced there as ``sourced``.
     """
-    if sourced is None:
+    if sources is None:
         return HopPolicy("provenance_required", F.lit(False), mandatory)
-    keys = F.transform("nodes", lambda n: F.concat_ws("|", n, F.col("action.relation")))
-    return HopPolicy("provenance_required", F.arrays_overlap("sourced", keys), mandatory)
+    return HopPolicy("provenance_required", F.array_contains("sourced", F.col("action.relation")), mandatory, sources.filter("head is not null and relation is not null"))
 
 
 HOP_POLICIES = {"allow_all": allow_all, "relation_allowlist": relation_allowlist, "confidence_floor": confidence_floor, "provenance_required": provenance_required}
@@ -77,7 +77,7 @@ def hop_blocked(policies: Sequence[HopPolicy], checks: Column) -> Column:
 
 
 def hop_audits(results: DataFrame) -> DataFrame:
-    """A row for each audited hop; stopping is recorded with the relation ''."""
+    """A row for each audited hop; stopping is recorded with the relation ''. A hop lists no sources: whether there were any is a check's result."""
     s = results.select("qid", F.inline("steps"))
     none = F.array().cast("array<string>").alias("provenance")
     return s.select("qid", "step", F.coalesce("action.relation", F.lit("")).alias("relation"), "checks_passed", F.col("action.score").alias("confidence"), none)

@@ -1,60 +1,90 @@
 """Budgeted beam traversal of all questions at once.
 
-The state is one row a question: its frontier as an array of paths, the spend, the trace. A hop is: candidate relations of the
+The state is one row a question: its frontier as an array of paths, and the spend. A hop is: candidate relations of the
 distinct frontier nodes, the controller's choice, the policies, the expansion to ``beam`` paths. Questions that have ended take no
-part in later hops.
+part in later hops; decisions leave the loop as rows and are put together once at the end.
+
+Of a node's tails along a relation only the first ``beam`` can enter a frontier, so they are picked once, before the
+loop, by a group limit that works before the shuffle; a hop then adds at most ``beam`` * ``beam`` paths to a question.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
-from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics
-from ..functions.text import serialize_state
+from ..functions.text import STOP, controller_prompt, reader_answers, serialize_state, verbalize_paths
 from ..plans.lineage import cut
+from ..plans.ship import ship
 from ..schemas import ACTION, PATH
 from . import governance
 from .graph import adjacency
 
 _STEP = f"struct<step:int,state_repr:string,candidates:array<string>,action:{ACTION},frontier_nodes:array<string>,checks_passed:map<string,boolean>>"
+AXES = ("hops", "llm_calls", "prompt_tokens", "gen_tokens")
+
+
+class Controller:
+    """Chooses an action from the state's columns ``step``, ``question``, ``frontier``, ``options`` (array of relation, degree, place) and
+    what ``prepare`` added to the questions.
+
+    ``select`` gives the action as a column and ``spend`` what a decision costs in prompt and generated tokens; a controller whose choice and cost come
+    from one model call gives both by ``decide``.
+    """
+
+    def prepare(self, questions: DataFrame) -> DataFrame:
+        return questions
+
+    def select(self) -> Column:
+        raise TypeError("a controller gives select or decide")
+
+    def spend(self) -> tuple[Column, Column]:
+        return F.lit(0), F.lit(0)
 
+    def decide(self, state: DataFrame) -> DataFrame:
+        """The state with ``action``, ``_prompt`` and ``_gen``."""
+        prompt, gen = self.spend()
+        return state.withColumns({"action": self.select(), "_prompt": prompt, "_gen": gen})
 
-class Controller(Protocol):
-    """Chooses an action from the state's columns ``step``, ``options`` (array of relation, degree, place) and what ``prepare`` added."""
 
-    def prepare(self, questions: DataFrame) -> DataFrame: ...
+class Synthesizer:
+    """Turns the final frontier into answers: by default its nodes, each once, in order."""
 
-    def select(self) -> Column: ...
+    def answers(self) -> Column:
+        """An array of names from the columns ``question`` and ``frontier``."""
+        return frontier_nodes(F.col("frontier"))
 
 
 def _act(kind: str, relation: Column, score: Column) -> Column:
     return F.struct(F.lit(kind).alias("type"), relation.cast("string").alias("relation"), score.cast("double").alias("score"))
 
 
+STOP_ACTION = "STOP"
+
+
 def _stop(score: float) -> Column:
-    return _act("STOP", F.lit(None), F.lit(score))
+    return _act(STOP_ACTION, F.lit(None), F.lit(score))
 
 
 @dataclass(frozen=True)
-class DegreeController:
+class DegreeController(Controller):
     """The relation with most distinct tails, of several the least; stops after ``max_hops``."""
 
     max_hops: int = 2
 
-    def prepare(self, questions: DataFrame) -> DataFrame:
-        return questions
-
     def select(self) -> Column:
         best = F.get(F.array_sort(F.transform("options", lambda o: F.struct((-o["degree"]).alias("d"), o["relation"].alias("relation")))), F.lit(0))
         return F.when((F.col("step") >= self.max_hops) | (best["d"] >= 0), _stop(1.0)).otherwise(_act("EXPAND", best["relation"], -best["d"]))
 
 
 @dataclass(frozen=True)
-class ScriptController:
+class ScriptController(Controller):
     """Follows ``scripts`` (``qid, script``); stops with score 1 at the end, 0 where the script's relation is not at hand."""
 
     scripts: DataFrame = field(repr=False)
@@ -68,9 +98,75 @@ class ScriptController:
         return F.when(F.col("step") >= F.size("script"), _stop(1.0)).when(there, _act("EXPAND", r, F.lit(1.0))).otherwise(_stop(0.0))
 
 
+@dataclass(frozen=True)
+class Metered(Controller):
+    """Another controller, with a cost in tokens for each decision (columns over the state)."""
+
+    inner: Controller
+    prompt_tokens: Column = field(repr=False)
+    gen_tokens: Column = field(repr=False)
+
+    def prepare(self, questions: DataFrame) -> DataFrame:
+        return self.inner.prepare(questions)
+
+    def select(self) -> Column:
+        return self.inner.select()
+
+    def spend(self) -> tuple[Column, Column]:
+        return self.prompt_tokens, self.gen_tokens
+
+
+@dataclass(frozen=True)
+class ModelController(Controller):
+    """A model chooses among the candidates and the stop token.
+
+    ``load`` runs once a worker and gives a function of ``(prompt, candidates)`` to ``(chosen, logprob, tokens, prompt_tokens)``: a candidate or
+    the stop token, the log-probability of all its tokens, forced ones included, and their number. The score is exp(logprob / tokens).
+    A choice that is no candidate stops with score 0.
+    """
+
+    load: Callable[[], Callable[[str, list[str]], tuple[str, float, int, int]]] = field(repr=False)
+
+    def decide(self, state: DataFrame) -> DataFrame:
+        ship(state.sparkSession)
+        load = self.load
+
+        @F.pandas_udf("chosen string, score double, prompt_tokens long, gen_tokens long")
+        def choose(prompts: pd.Series, candidates: pd.Series) -> pd.DataFrame:
+            model = load()
+            out = []
+            for prompt, names in zip(prompts, candidates):
+                chosen, logprob, tokens, prompt_tokens = model(prompt, [*names, STOP])
+                out.append((chosen, math.exp(logprob / tokens) if tokens else 1.0, prompt_tokens, tokens))
+            return pd.DataFrame(out, columns=["chosen", "score", "prompt_tokens", "gen_tokens"])
+
+        names = F.transform("options", lambda o: o["relation"])
+        made = state.withColumn("_m", choose(controller_prompt(serialize_state(F.col("question"), F.col("step"), F.col("frontier")), names), names))
+        chosen, score = F.col("_m.chosen"), F.col("_m.score")
+        action = F.when(chosen == STOP, _act(STOP_ACTION, F.lit(None), score)).when(F.array_contains(names, chosen), _act("EXPAND", chosen, score)).otherwise(_stop(0.0))
+        return made.withColumns({"action": action, "_prompt": F.col("_m.prompt_tokens"), "_gen": F.col("_m.gen_tokens")}).drop("_m")
+
+
+@dataclass(frozen=True)
+class PathReader(Synthesizer):
+    """A model reads the question and the paths and names the answers; names that stand on no path do not count, and without any the frontier's nodes are given."""
+
+    generate: Callable[[Column], Column] = field(repr=False)
+
+    def answers(self) -> Column:
+        paths = F.col("frontier")
+        nodes = F.flatten(F.transform(paths, lambda p: F.concat(F.array(p["root"]), F.flatten(F.transform(p["triples"], lambda t: F.array(t["head"], t["tail"]))))))
+        said = self.generate(F.concat(F.lit("question: "), F.col("question"), F.lit("\npaths:\n"), verbalize_paths(paths), F.lit("\nanswers:")))
+        return reader_answers(said, F.filter(nodes, lambda n: n.isNotNull()), frontier_nodes(paths))
+
+
 @dataclass(frozen=True)
 class Budget:
-    """Caps; null is none. A question is exhausted when a spend reaches its cap."""
+    """Caps; null is none. A question is exhausted when a spend reaches its cap.
+
+    Time is measured over the whole loop and known only at its end, so ``max_wall_ms`` interrupts no traversal; a cap of 0 or less is reached
+    at the start.
+    """
 
     max_hops: int | None = 3
     max_llm_calls: int | None = 50
@@ -79,12 +175,12 @@ class Budget:
     max_wall_ms: float | None = None
 
     def exhausted(self) -> Column:
-        spend = {"hops": self.max_hops, "llm_calls": self.max_llm_calls, "prompt_tokens": self.max_prompt_tokens, "gen_tokens": self.max_gen_tokens}
-        out = F.lit(False)
-        for axis, cap in spend.items():
+        out = F.lit(self.max_wall_ms is not None and self.max_wall_ms <= 0)
+        for axis in AXES:
+            cap = getattr(self, f"max_{axis}")
             if cap is not None:
                 out = out | (F.col(axis) >= cap)
-        return out if self.max_wall_ms is None or self.max_wall_ms > 0 else F.lit(True)
+        return out
 
 
 def _node(p: Column) -> Column:
@@ -102,71 +198,81 @@ def traverse(
     budget: Budget | None = None,
     beam: int = 16,
     max_steps: int = 32,
-    policies: tuple[governance.HopPolicy, ...] = (),
+    policies: Sequence[governance.HopPolicy] = (),
+    synthesizer: Synthesizer | None = None,
 ) -> DataFrame:
     """``qid, answers, frontier, hops, llm_calls, …, steps, hit, verdict``: a row for each question.
 
     Questions with several rows a ``qid`` count once (any of them). Null topics are none; a question without
     topics has no answers and spends nothing.
     """
-    budget = budget or Budget()
+    budget, beam = budget or Budget(), max(beam, 1)
     own = ["qid"] if "qid" in edges.columns else []
     graph = cut(adjacency(edges))
+    first = Window.partitionBy(*own, "head", "relation").orderBy("pos", "tail")
+    ways = cut(graph.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= beam).select(*own, F.col("head").alias("node"), "relation", "place", "tail"))
+    sources = next((p.sources for p in policies if p.sources is not None), None)
     strings = lambda c: F.coalesce(F.filter(F.col(c), lambda x: x.isNotNull()), F.array().cast("array<string>"))
     q = questions.dropDuplicates(["qid"]).select("qid", F.coalesce("question", F.lit("")).alias("question"), strings("topics").alias("topics"), strings("golds").alias("golds"))
     root = F.transform("topics", lambda t: F.struct(t.alias("root"), F.array().cast("array<struct<head:string,relation:string,tail:string>>").alias("triples")).cast(PATH))
     zero = F.lit(0).cast("long")
-    start = q.select("qid", "question", "golds", root.alias("frontier"), F.lit(0).alias("step"), zero.alias("hops"), zero.alias("llm_calls"), zero.alias("prompt_tokens"), zero.alias("gen_tokens"))
-    state = cut(controller.prepare(start).withColumn("steps", F.array().cast(f"array<{_STEP}>")))
+    state = cut(controller.prepare(q.select("qid", "question", "golds", root.alias("frontier"), F.lit(0).alias("step"), *[zero.alias(a) for a in AXES])))
     keep = state.columns
     ended: list[DataFrame] = []
+    decided: list[DataFrame] = []
     for _ in range(max_steps):
         going = ~budget.exhausted() & (F.size("frontier") > 0)
         ended.append(state.filter(~going))
         state = state.filter(going)
         nodes = state.select("qid", F.posexplode(frontier_nodes(F.col("frontier"))).alias("place", "node"))
-        reach = nodes.join(graph.withColumnRenamed("head", "node"), [*own, "node"] if own else ["node"])
+        reach = nodes.join(graph.withColumnRenamed("head", "node"), [*own, "node"])
         each = reach.groupBy("qid", "relation").agg(F.count_distinct("tail").alias("degree"), F.min(F.struct("place", "pos")).alias("order"))
         options = each.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("order", "relation", "degree"))).alias("options"))
         met = state.join(options, "qid", "left")
-        ended.append(cut(met.filter("options is null").select(*keep)))
-        chosen = met.filter("options is not null").withColumn("action", controller.select()).withColumn("nodes", frontier_nodes(F.col("frontier")))
-        chosen = chosen.withColumn("llm_calls", F.col("llm_calls") + 1)
+        if sources is not None:
+            on = [c for c in own if c in sources.columns]
+            known = nodes.join(sources.select(*on, F.col("head").alias("node"), "relation").distinct(), [*on, "node"]).groupBy("qid").agg(F.collect_set("relation").alias("sourced"))
+            met = met.join(known, "qid", "left")
+        chosen = controller.decide(met.filter("options is not null")).withColumn("nodes", frontier_nodes(F.col("frontier")))
+        chosen = chosen.withColumns({"llm_calls": F.col("llm_calls") + 1, "prompt_tokens": F.col("prompt_tokens") + F.col("_prompt"), "gen_tokens": F.col("gen_tokens") + F.col("_gen")})
         checks = governance.hop_checks(policies)
         trace = F.struct(
             F.col("step"), serialize_state(F.col("question"), F.col("step"), F.col("frontier")).alias("state_repr"),
             F.transform("options", lambda o: o["relation"]).alias("candidates"), F.col("action"), F.col("nodes").alias("frontier_nodes"), checks.alias("checks_passed"),
         ).cast(_STEP)
-        chosen = cut(chosen.withColumn("steps", F.concat("steps", F.array(trace))).withColumn("blocked", governance.hop_blocked(policies, checks)))
-        stop = F.col("blocked") | (F.col("action.type") == "STOP")
+        chosen = cut(chosen.select(*keep, "action", trace.alias("trace"), governance.hop_blocked(policies, checks).alias("blocked")))
+        decided.append(chosen.select("qid", "trace"))
+        ended.append(state.join(chosen.select("qid"), "qid", "left_anti"))
+        stop = F.col("blocked") | (F.col("action.type") == STOP_ACTION)
         ended.append(chosen.filter(stop).select(*keep))
         go = chosen.filter(~stop)
         paths = go.select("qid", F.posexplode("frontier").alias("path_idx", "path"), F.col("action.relation").alias("relation")).withColumn("node", _node(F.col("path")))
-        hop = paths.join(graph.withColumnRenamed("head", "node"), [*own, "node", "relation"] if own else ["node", "relation"])
-        first = Window.partitionBy("qid").orderBy("path_idx", "pos", "tail")
+        hop = paths.join(ways, [*own, "node", "relation"])
         grown = F.struct(F.col("path.root").alias("root"), F.concat("path.triples", F.array(F.struct(F.col("node").alias("head"), F.col("relation"), F.col("tail")))).alias("triples"))
-        new = hop.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= max(beam, 1)).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("r", grown.alias("p")))).alias("l"))
-        went = go.join(new.select("qid", F.transform("l", lambda x: x["p"]).alias("next")), "qid", "left")
-        ended.append(cut(went.filter("next is null").select(*keep)))
-        went = went.filter("next is not null").withColumns({"frontier": F.col("next").cast(f"array<{PATH}>"), "step": F.col("step") + 1, "hops": F.col("hops") + 1})
-        state = cut(went.select(*keep))
+        new = hop.groupBy("qid").agg(F.slice(F.array_sort(F.collect_list(F.struct("path_idx", "place", grown.alias("p")))), 1, beam).alias("l"))
+        went = cut(go.select(*keep).join(new.select("qid", F.transform("l", lambda x: x["p"]).alias("next")), "qid", "left"))
+        ended.append(went.filter("next is null").select(*keep))
+        state = went.filter("next is not null").withColumns({"frontier": F.col("next").cast(f"array<{PATH}>"), "step": F.col("step") + 1, "hops": F.col("hops") + 1}).select(*keep)
         if state.isEmpty():
             break
     ended.append(state)
-    out = ended[0].select(*keep)
-    for e in ended[1:]:
-        out = out.unionByName(e.select(*keep))
-    answers = frontier_nodes(F.col("frontier"))
+    union = lambda frames: frames[0] if len(frames) == 1 else frames[0].unionByName(union(frames[1:]))
+    out = union([e.select(*keep) for e in ended])
+    if decided:
+        steps = union(decided).groupBy("qid").agg(F.array_sort(F.collect_list("trace"), lambda x, y: x["step"] - y["step"]).alias("steps"))
+        out = out.join(steps, "qid", "left").withColumn("steps", F.coalesce("steps", F.array().cast(f"array<{_STEP}>")))
+    else:
+        out = out.withColumn("steps", F.array().cast(f"array<{_STEP}>"))
     verdict = F.forall("steps", lambda s: F.forall(F.map_values(s["checks_passed"]), lambda v: v))
-    return out.withColumn("answers", answers).withColumns({"hit": metrics.hit(F.col("answers"), F.col("golds")), "verdict": verdict})
+    return out.withColumn("answers", (synthesizer or Synthesizer()).answers()).withColumns({"hit": metrics.hit(F.col("answers"), F.col("golds")), "verdict": verdict})
 
 
-def summary(results: DataFrame) -> DataFrame:
+def summary(results: DataFrame, axes: Sequence[str] = ("hops", "llm_calls")) -> DataFrame:
     """Mean hit, hits@1 and F1, mean, median, p90, p99 and maximum of the spends, share of good audits; zeros without rows."""
     a, g = F.col("answers"), F.col("golds")
     mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
     cols = [F.count("*").alias("n_questions"), mean("hit").alias("hit"), mean(metrics.hits_at_1(a, g)).alias("hits_at_1"), mean(metrics.answer_f1(a, g)).alias("f1")]
-    for axis in ("hops", "llm_calls"):
+    for axis in axes:
         cols += [c.alias(f"{axis}_{n}") for n, c in cost_statistics(F.col(axis)).items()]
     return results.agg(*cols, mean(F.col("verdict").cast("double")).alias("audit_pass_rate"))
 

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import metrics
 from ..functions.taxonomy import TYPE_OF
 from ..functions.text import verbalize
-from ..operators import graph, traverse
+from ..operators import graph
 from .lineage import cut
 from .registry import query
 
@@ -140,51 +139,6 @@ def frontier_min_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.frontier_distance(e.filter("relation = 'partner_of'").select(F.col("head").alias("qid"), F.col("tail").alias("node")).distinct(), dist, 9)
 
 
-def customer_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A question a customer: which region is it in."""
-    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
-    topic = F.concat(F.lit("customer:"), F.col("c_custkey").cast("string"))
-    region = F.concat(F.lit("region:"), F.col("n_regionkey").cast("string"))
-    j = c.join(n, c.c_nationkey == n.n_nationkey)
-    return j.select(topic.alias("qid"), F.concat(F.lit("region of "), topic).alias("question"), F.array(topic).alias("topics"), F.array(region).alias("golds")).dropDuplicates(["qid"])
-
-
-@query(f"""WITH {_PLACES} SELECT c.head AS qid, r.tail AS answers, 2 AS hops, 2 AS llm_calls, 1.0 AS hit, 1.0 AS f1 FROM places c JOIN places r ON c.tail = r.head WHERE c.head LIKE 'customer:%' AND r.relation = 'in_region'""")
-def traversal_degree_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every customer's question by the degree controller over the forward graph: two hops, and no stop to decide at a region, which has no way on."""
-    r = traverse.traverse(customer_questions(spark, sf_dir), places(spark, sf_dir), traverse.DegreeController(2), traverse.Budget(3, 50))
-    return r.select("qid", F.array_join("answers", "|").alias("answers"), "hops", "llm_calls", "hit", metrics.answer_f1(F.col("answers"), F.col("golds")).alias("f1"))
-
-
-@query("SELECT count(*) AS n_questions, 1.0 AS hit, 1.0 AS hits_at_1, 1.0 AS f1, 2.0 AS hops_mean, 2.0 AS hops_median, 2.0 AS hops_p90, 2.0 AS hops_p99, 2.0 AS hops_max, 2.0 AS llm_calls_mean, 2.0 AS llm_calls_median, 2.0 AS llm_calls_p90, 2.0 AS llm_calls_p99, 2.0 AS llm_calls_max, 1.0 AS audit_pass_rate FROM (SELECT DISTINCT c_custkey FROM customer)")
-def harness_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = traverse.traverse(customer_questions(spark, sf_dir), places(spark, sf_dir), traverse.DegreeController(2), traverse.Budget(3, 50))
-    return traverse.summary(r)
-
-
-@query(f"""WITH {_PLACES}, q AS (SELECT DISTINCT head AS qid, tail AS nation FROM places WHERE head LIKE 'customer:%') SELECT qid, 'in_nation,in_region' AS script FROM q""")
-def shortest_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Relations of the shortest way from each customer to its region."""
-    s = graph.shortest_scripts(customer_questions(spark, sf_dir), places(spark, sf_dir), 3)
-    return s.select("qid", F.array_join("script", ",").alias("script"))
-
-
-@query(f"""WITH {_PLACES}, q AS (SELECT DISTINCT c.head AS qid, c.tail AS nation FROM places c WHERE c.head LIKE 'customer:%')
-SELECT qid, 0 AS step, 'Q: region of ' || qid || ' || step=0 || frontier: ' || qid AS state, 'in_nation' AS target FROM q
-UNION ALL SELECT qid, 1, 'Q: region of ' || qid || ' || step=1 || frontier: ' || qid || ' -[in_nation]-> ' || nation, 'in_region' FROM q""")
-def mined_sft_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Supervised rows of the mined trajectories; a region has no way on, so no stop is decided there."""
-    hits, _ = traverse.mine(customer_questions(spark, sf_dir), places(spark, sf_dir), 3)
-    return traverse.sft_rows(hits).select("qid", "step", "state", "target")
-
-
-@query("SELECT count(DISTINCT c_custkey) AS questions, 0 AS unreachable, 0 AS trivial, 0 AS replay_missed, count(DISTINCT c_custkey) AS mined, '2:' || count(DISTINCT c_custkey) AS depths FROM customer")
-def mining_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, stats = traverse.mine(customer_questions(spark, sf_dir), places(spark, sf_dir), 3)
-    joined = F.array_join(F.transform(F.map_entries("depths"), lambda e: F.concat_ws(":", e["key"].cast("string"), e["value"].cast("string"))), ",")
-    return stats.withColumn("depths", joined)
-
-
 @query(f"""WITH {_CLOSED}, k AS (SELECT DISTINCT head AS qid FROM closed WHERE relation = 'has_subsidiary'),
 one AS (SELECT qid, c.head, c.relation, c.tail FROM k JOIN closed c ON c.head = qid),
 two AS (SELECT qid, c.head, c.relation, c.tail FROM (SELECT DISTINCT qid, tail FROM one WHERE tail <> qid) o JOIN closed c ON c.head = o.tail),
