@@ -6,13 +6,14 @@ import os
 import platform
 import re
 import sys
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from importlib import metadata
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.digest import rows_digest
+from ..functions.digest import path_digest, rows_digest
+from ..plans.ship import ship
 from . import cascade
 
 BUDGETS = (0.15, 0.20, 0.25)
@@ -59,6 +60,51 @@ def word_counts(df: DataFrame, key: str, text: str, output: Column | None = None
     return df.select(F.col(key).alias("key"), words(F.col(text)).alias("input_tokens"), out.alias("output_tokens"))
 
 
+def token_counts(df: DataFrame, key: str, text: str, load: Callable[[], Callable[[str], Sequence[int]]], output: str | None = None) -> DataFrame:
+    """``key, input_tokens, output_tokens`` by a tokenizer that ``load`` gives once a task; null texts have none."""
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    ship(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = load()
+        for b in batches:
+            n = [pa.array([len(encode(t)) if t else 0 for t in b.column(i).to_pylist()], pa.int64()) for i in (1, 2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *n], ["key", "input_tokens", "output_tokens"])
+
+    out = F.col(output) if output is not None else F.lit(None).cast("string")
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(F.col(key).alias("key"), F.col(text).alias("i"), out.alias("o")).mapInArrow(run, f"key {kind}, input_tokens long, output_tokens long")
+
+
+def run_manifest(config: Mapping[str, str], paths: Mapping[str, str], facts: Mapping[str, object]) -> dict:
+    """What a run was: its configuration, the digests of its files, the environment, the facts of its log."""
+    return {"config": dict(config), "hashes": {k: path_digest(p) for k, p in paths.items()}, "environment": environment(), "facts": dict(facts)}
+
+
+def identity_failures(baseline: Mapping, manifest: Mapping, paths: Mapping[str, str]) -> list[str]:
+    """Names of what is not the same: files against the manifest's digests, the manifest's digests and configuration against the baseline's.
+
+    ``paths``: the files at hand (``test``, ``outcomes``). What the baseline does not name is not compared.
+    """
+    actual = {k: path_digest(p) for k, p in paths.items()}
+    told, known = manifest.get("hashes", {}), baseline.get("hashes", {})
+    bad = [f"hashes.{k}" for k, v in actual.items() if told.get(k) != v]
+    if known.get("pairs") is not None and known["pairs"] != actual.get("test"):
+        bad.append("baseline.hashes.pairs")
+    bad += [f"baseline.hashes.{k}" for k in ("adapter", "vocab") if known.get(k) is not None and told.get(k) != known[k]]
+    bad += [f"baseline.{k}" for k in ("code_commit", "model_revision") if baseline.get(k) is not None and manifest.get("config", {}).get(k) != baseline[k]]
+    return sorted(bad)
+
+
+def compare_runs(baseline: Mapping, manifest: Mapping, paths: Mapping[str, str], metrics: DataFrame, failures: Sequence[str] = ()) -> dict:
+    """``reproduction_failures`` and ``verdict`` of a run: failures of identity come to those of the numbers, and any of them decides."""
+    bad = sorted({*failures, *identity_failures(baseline, manifest, paths)})
+    return {"reproduction_failures": bad, "verdict": signal_verdict(metrics, bad).first().verdict}
+
+
 def budget_metrics(rows: DataFrame, signals: Sequence[str], budgets: Sequence[float] = BUDGETS) -> DataFrame:
     """Metrics of each signal when the floor(budget * n) rows of least (signal, key) are escalated."""
     out = None

@@ -13,6 +13,7 @@ from .graph_queries import table
 from .lineage import cut
 from .outcome_queries import _ROWS
 from .registry import query
+from .text_queries import _PARTY_SQL, spans_sql
 
 _TYPES = "(" + ", ".join(f"'{t}'" for t in TYPES) + ")"
 
@@ -40,7 +41,9 @@ def edge_provenance_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return governance.provenance_counts(governance.audit_edges(proposals(spark, sf_dir), _POLICIES()))
 
 
-@query()
+@query(f"""WITH {_EXPORT}, x AS (SELECT * FROM v WHERE rel IS NOT NULL AND target IS NOT NULL), {spans_sql('x', 'o', 'target', 'chunk_text')},
+p AS (SELECT filing, rel IN {_TYPES} AND coalesce(confidence >= 0.7::DOUBLE, false) AND s IS NOT NULL AND {_PARTY_SQL % 'chunk_text'} AS ok FROM x JOIN gs ON gs.key = x.o)
+SELECT filing, count(*) FILTER (ok) AS n_committed, count(*) FILTER (NOT ok) AS n_blocked, true AS verdict FROM p GROUP BY 1""")
 def evidence_gated_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Certificates when the evidence gates run as well."""
     a = governance.audit_edges(proposals(spark, sf_dir), (*_POLICIES(), governance.evidence_gates()))
@@ -67,7 +70,7 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return commits.sessions(table(spark, sf_dir, "events"))
 
 
-@query()
+@query(f"WITH {_AUDIT} SELECT relation, count(*) AS provenances FROM au WHERE a AND b GROUP BY 1")
 def streamed_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The edge store after a stream of proposals was committed under governance, counted by relation."""
     import shutil

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cascade, construct, governance, traverse
-from ..sources import kgqa, sinks, synthetic
+from ..sources import kgqa, sinks, telemetry, synthetic
 from .lineage import cut
 
 FIXED_TAUS = [round(0.05 * i, 2) for i in range(22)]
@@ -96,16 +98,29 @@ def frontier(spark: SparkSession, runs: str, out: str, cost: str = "llm_calls",
     return rows
 
 
-def evaluate(spark: SparkSession, folder: str, split: str, dataset: str, controller: traverse.Controller, out: str, budget: traverse.Budget | None = None, policies: tuple[governance.HopPolicy, ...] = ()) -> DataFrame:
-    """Traverse a split's questions; write a row a question and one summary."""
+def evaluate(spark: SparkSession, folder: str, split: str, dataset: str, controller: traverse.Controller, out: str, budget: traverse.Budget | None = None, policies: tuple[governance.HopPolicy, ...] = (), synthesizer: traverse.Synthesizer | None = None, config: dict | None = None) -> DataFrame:
+    """Traverse a split's questions; write a row a question, one summary and, if given, the configuration."""
     recs = cut(kgqa.load_records(spark, folder, split, dataset))
-    runs = cut(traverse.traverse(recs, kgqa.edges_of(recs), controller, budget, policies=policies))
+    runs = cut(traverse.traverse(recs, kgqa.edges_of(recs), controller, budget, policies=policies, synthesizer=synthesizer))
     runs.select("qid", "answers", "golds", "hit", "hops", "llm_calls", "verdict").write.mode("overwrite").json(f"{out}/questions")
     s = traverse.summary(runs)
     s.coalesce(1).write.mode("overwrite").json(f"{out}/summary")
+    if config is not None:
+        text = json.dumps(config, default=str, ensure_ascii=False)
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/config")
     return s
 
 
+def plot_telemetry(spark: SparkSession, folder: str, out: str) -> list[str]:
+    """Pictures of a run's losses and policy log, of whichever there is; their paths (none without a plotting package)."""
+    made = []
+    for name, draw in (("trainer_state.json", telemetry.plot_losses), ("log.jsonl", telemetry.plot_run)):
+        path = os.path.join(folder, name)
+        if os.path.exists(path) and (p := draw(spark, path, os.path.join(out, name.split(".")[0] + ".png"))):
+            made.append(p)
+    return made
+
+
 def mine(spark: SparkSession, folder: str, split: str, dataset: str, out: str, max_hops: int = 4) -> dict:
     """Mine a split's trajectories and write their supervised rows; gives the counters."""
     recs = cut(kgqa.load_records(spark, folder, split, dataset))

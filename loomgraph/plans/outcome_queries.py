@@ -222,12 +222,19 @@ def frozen_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("n", "escalated_calls", "escalation_rate", "precision", "recall", "f1", "exact")
 
 
-@query("SELECT '' AS failures")
+_FROZEN = "n, e AS escalated_calls, e::DOUBLE / n AS escalation_rate, " + _rates("tp", "fp", "fn", "ex", "n")
+
+
+@query(f"""WITH {_ROWS}, w AS (SELECT 1 AS g, {_escalated('confidence < 0.85')} FROM d UNION ALL SELECT 2, {_escalated('confidence < 0.8')} FROM d), x AS (SELECT g, {_FROZEN} FROM w), b AS (SELECT * FROM x WHERE g = 1), c AS (SELECT * FROM x WHERE g = 2)
+SELECT (CASE WHEN b.escalated_calls <> c.escalated_calls THEN 'decision_sha256,escalated_calls' ELSE '' END || CASE WHEN abs(b.f1 - c.f1) > 0.002 THEN ',f1' ELSE '' END || CASE WHEN abs(b.recall - c.recall) > 0.002 THEN ',recall' ELSE '' END
+  || CASE WHEN abs(b.escalation_rate - c.escalation_rate) > 0.002 THEN ',escalation_rate' ELSE '' END) AS failures, '' AS same FROM b, c""")
 def reproduction_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The frozen policy computed twice reproduces itself."""
+    """What a policy at another threshold fails to reproduce, and that the same policy over repartitioned rows reproduces itself."""
     r = rows(spark, sf_dir).withColumn("ordinal", F.col("key"))
     a = cut(validation.freeze(r, 0.85))
-    return validation.reproduction_failures(a, cut(validation.freeze(r.repartition(5), 0.85))).select(F.array_join("failures", ",").alias("failures"))
+    other = validation.reproduction_failures(a, cut(validation.freeze(r, 0.8))).select(F.array_join("failures", ",").alias("failures"))
+    same = validation.reproduction_failures(a, cut(validation.freeze(r.repartition(5), 0.85))).select(F.array_join("failures", ",").alias("same"))
+    return other.crossJoin(same)  # two tables of one row
 
 
 @query(f"""WITH {_ROWS}, {_TAUS}, {_SWEEP} SELECT 'tau=' || printf('%.4f', tau) AS run, escalation_rate AS mean_cost, recall AS accuracy, (SELECT count(*) FROM d) AS n_questions FROM sw""")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-_MODULES: tuple[str, ...] = ("graph_queries", "traversal_queries", "outcome_queries", "construct_queries", "text_queries", "governance_queries")
+_MODULES: tuple[str, ...] = ("graph_queries", "traversal_queries", "outcome_queries", "construct_queries", "text_queries", "governance_queries", "score_queries", "source_queries")
 
 
 def query(sql: str | None = None):

@@ -32,14 +32,33 @@ def party_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.filer_is_party(F.col("text")).alias("party"))
 
 
-@query()
+_GAP = r"[^\p{L}\p{N}]+"
+
+
+def _place(name: str, text: str) -> str:
+    """SQL: the pattern's groups are what stands before the first place of the words of ``name`` and what stands there."""
+    pattern = rf"'(?is)^(|.*?[^\p{{L}}\p{{M}}\p{{N}}_])(' || replace({name}, ' ', '{_GAP}') || ')(?:$|[^\p{{L}}\p{{M}}\p{{N}}_])'"
+    return f"CASE WHEN {name} <> '' AND regexp_matches({text}, {pattern}) THEN [length(regexp_extract({text}, {pattern}, 1)), length(regexp_extract({text}, {pattern}, 1)) + length(regexp_extract({text}, {pattern}, 2))] END"
+
+
+def spans_sql(source: str, key: str, target: str, text: str) -> str:
+    """SQL: tables ``n0`` of the names and ``gs`` of ``key`` and span ``s`` (null: not in the text)."""
+    norm = f"regexp_replace(trim(regexp_replace(lower({target}), '[^a-z0-9 ]+', ' ', 'g')), ' +', ' ', 'g')"
+    return f"""n0 AS (SELECT {key} AS key, {norm} AS norm, {CORE_SQL % target} AS core, {text} AS text FROM {source}),
+gs AS (SELECT key, coalesce({_place("norm", "text")}, {_place("core", "text")}) AS s FROM n0)"""
+
+
+_PARTY_SQL = r"coalesce(regexp_matches(%s, '(?i)(^|[^\p{L}\p{N}_])(we|our|us|the company|the corporation|the registrant)($|[^\p{L}\p{N}_])'), false)"
+
+
+@query(f"WITH {_EXPORT}, {spans_sql('(SELECT * FROM v WHERE target IS NOT NULL AND chunk_text IS NOT NULL)', 'o', 'target', 'chunk_text')} SELECT key AS ordinal, s[1]::INT AS start, s[2]::INT AS \"end\" FROM gs")
 def ground_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the target of each edge stands in its chunk."""
     e = export(spark, sf_dir).filter("target is not null and chunk_text is not null")
     return e.select("ordinal", text.ground_span(F.col("target"), F.col("chunk_text")).alias("s")).select("ordinal", "s.start", "s.end")
 
 
-@query()
+@query(f"WITH {_JUDGE}, {spans_sql('j', 'ordinal', 'target', 'text')}, p AS (SELECT ordinal, {_PARTY_SQL % 'text'} AS party FROM j) SELECT ordinal, s IS NOT NULL AS grounded, true AS is_company, party AS filer_party, s IS NOT NULL AND party AS passed FROM p JOIN gs ON gs.key = p.ordinal")
 def rule_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The existence gates of each judged claim."""
     j = judged(spark, sf_dir)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Sequence
 
@@ -37,6 +38,28 @@ def split_path(folder: str, split: str) -> str:
     raise FileNotFoundError(f"no file of split {split!r}: tried {', '.join(tried)}")
 
 
+# fixed values: names under which the public question sets are published
+RELEASES = {"webqsp": "rmanluo/RoG-webqsp", "cwq": "rmanluo/RoG-cwq", "metaqa": "rmanluo/RoG-metaqa"}
+
+
+def download(dataset: str, folder: str, fetch=None) -> list[str]:
+    """The splits of a published question set as ``<split>.jsonl``; their paths. An unknown set is a ValueError.
+
+    ``fetch`` takes a release's name and gives its splits, each rows of mappings; without one the ``datasets`` package is used.
+    """
+    if dataset not in RELEASES:
+        raise ValueError(f"unknown dataset {dataset!r}: one of {', '.join(sorted(RELEASES))}")
+    if fetch is None:
+        from datasets import load_dataset as fetch  # not installed everywhere
+    os.makedirs(folder, exist_ok=True)
+    out = []
+    for split, rows in fetch(RELEASES[dataset]).items():
+        out.append(os.path.join(folder, f"{split}.jsonl"))
+        with open(out[-1], "w", encoding="utf-8") as f:
+            f.writelines(json.dumps(dict(r), ensure_ascii=False) + "\n" for r in rows)
+    return out
+
+
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
     """Non-blank lines with their place: ``value`` and ``ordinal`` (grows with the place in the file).
 

@@ -14,6 +14,10 @@ from ..operators.construct import split_pairs, unit_split, vocabulary
 from ..plans.prefix import running
 
 
+#: targets that are gathered in one record at most
+IN_ONE = 1_000_000
+
+
 def write_jsonl(df: DataFrame, path: str) -> int:
     """Rows as JSON lines, non-ASCII text as it is; gives their number."""
     df.write.mode("overwrite").json(path)
@@ -52,9 +56,13 @@ def write_splits(df: DataFrame, folder: str) -> None:
 
 
 def export_pairs(pairs: DataFrame, folder: str, by: str = "auto", fractions: Sequence[float] = (0.8, 0.1, 0.1), seed: int = 42) -> None:
-    """Leakage-safe splits of pairs and the vocabulary of relations and targets."""
+    """Leakage-safe splits of pairs, the targets in order, one a row, and, of at most ``IN_ONE`` targets, the vocabulary as one record."""
     write_splits(pair_record_split(split_pairs(pairs, by, fractions, seed)), f"{folder}/pairs")
-    v = vocabulary(pairs).agg(F.array(*[F.lit(t) for t in TYPES]).alias("relations"), F.array_sort(F.collect_list("target")).alias("targets"))
+    targets = vocabulary(pairs).orderBy("target")
+    targets.write.mode("overwrite").json(f"{folder}/targets")
+    if targets.count() > IN_ONE:
+        return
+    v = targets.agg(F.array(*[F.lit(t) for t in TYPES]).alias("relations"), F.array_sort(F.collect_list("target")).alias("targets"))
     v.coalesce(1).write.mode("overwrite").json(f"{folder}/vocab")
 
 
