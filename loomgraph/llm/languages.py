@@ -1,6 +1,6 @@
 """Problem 9: missing or wrong document language labels.
 
-A bit-sliced Bloom filter over words holds one byte a slot, one bit for each language; the bytes at a word's slots,
+A bit-sliced Bloom filter over words holds one mask a slot, one bit for each language (a byte for eight languages, up to eight bytes for 64); the masks at a word's slots,
 ANDed, are the set of languages that contain the word. For each sentence the languages' counts, less the filter's expected
 false positives, decide; neighbouring sentences of one language are a segment. A language is in a document if a segment
 of it has ``RUNNING`` words made of letters. Sentences without evidence (names, numbers, headings) belong to the segment
@@ -43,7 +43,10 @@ SAMPLE = 400
 SHARE = 0.3
 SLOTS = 1 << 20
 HASHES = 3
-PIECE = 24
+#: words by which a sentence longer than that is decided piece by piece
+PIECE = 12
+#: the filter's slots hold a bit for each language
+MASK = next(t for t, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(CODES) <= n)
 _SALTS = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
 
 
@@ -71,7 +74,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame) -> np.ndarray:
-    """The filter: a byte a slot."""
+    """The filter: a mask a slot."""
     labelled = docs.select(F.col("doc_id"), plain_language(F.col("lang")).alias("code"), "text").filter("code is not null and text is not null")
     sizes = {r[0]: r[1] for r in labelled.groupBy("code").count().collect()}
     share = F.try_element_at(F.create_map(*[F.lit(x) for c in CODES for x in (c, min(1.0, SAMPLE / max(1, sizes.get(c, 0))))]), F.col("code"))
@@ -87,13 +90,18 @@ def fit(docs: DataFrame) -> np.ndarray:
     rate[at, code[word != 0]] = n[word != 0]
     rate /= np.maximum(total, 1)
     member = (rate > 0) & (rate >= SHARE * rate.max(1, initial=0, keepdims=True))
-    mask = np.packbits(member, axis=1, bitorder="little")[:, 0] if len(words) else np.zeros(0, np.uint8)
-    slots = np.zeros(SLOTS, np.uint8)
+    mask = (member.astype(np.uint64) << np.arange(len(CODES), dtype=np.uint64)).sum(1, dtype=np.uint64).astype(MASK)
+    slots = np.zeros(SLOTS, MASK)
     for s in _slots(words.astype(np.uint64)):
         np.bitwise_or.at(slots, s, mask)
     return slots
 
 
+def _bits(mask: np.ndarray) -> np.ndarray:
+    """A row of zeros and ones, one for each language, of each mask."""
+    return np.unpackbits(mask[:, None].view(np.uint8), axis=1, bitorder="little", count=len(CODES))
+
+
 def _edges(text: np.ndarray, lang: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (lang[1:] != lang[:-1])))
 
@@ -103,7 +111,7 @@ class Detector:
 
     def __init__(self, slots: np.ndarray):
         self.slots = slots
-        fill = np.unpackbits(slots[:, None], axis=1, bitorder="little").mean(0)
+        fill = _bits(slots).mean(0)
         self.false = fill**HASHES
         self._digit = np.array([chr(c).isdigit() for c in range(256)])
 
@@ -113,7 +121,7 @@ class Detector:
         n = len(w.hash)
         if not n:
             return tuple(np.zeros(0, np.int64) for _ in range(5)) + (np.zeros(0),)
-        mask = np.full(n, 255, np.uint8)
+        mask = np.full(n, np.iinfo(MASK).max, MASK)
         for s in _slots(w.hash):
             mask &= self.slots[s]
         code = w.codes
@@ -128,7 +136,7 @@ class Detector:
         place = np.arange(n) - begin[np.cumsum(new) - 1]
         begin = np.flatnonzero(new | (place % PIECE == 0))
         size = np.diff(np.append(begin, n))
-        counts = np.add.reduceat(np.unpackbits(mask[:, None], axis=1, bitorder="little").astype(np.int32), begin, axis=0)
+        counts = np.add.reduceat(_bits(mask).astype(np.int32), begin, axis=0)
         known = np.add.reduceat((mask > 0).astype(np.int32), begin)
         score = (counts - size[:, None] * self.false) / (1 - self.false)
         top = np.sort(score, axis=1)

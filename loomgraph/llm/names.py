@@ -31,11 +31,9 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 from ..plans.ship import ship
-from .splits import components
+from .splits import components, member_pairs
 from .tables import table
 
-#: clusters of up to this many names are given as all pairs, larger ones as pairs with their least name
-PAIRS = 256
 SIMILAR = 0.80
 SIMILAR_MEAN = 0.90
 
@@ -478,11 +476,7 @@ def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = cut(linked(_names(spark, sf_dir)))
-    size = c.groupBy("cluster").agg(F.count("*").alias("n"), F.min("name").alias("least")).filter("n > 1")
-    m = c.join(size, "cluster")
-    a, b = m.select("cluster", F.col("name").alias("name_a"), "n", "least"), m.select("cluster", F.col("name").alias("name_b"))
-    return a.join(b, "cluster").filter(f"name_a < name_b and (n <= {PAIRS} or name_a = least)").select("name_a", "name_b")
+    return member_pairs(linked(_names(spark, sf_dir)), "cluster", "name", "name_a", "name_b")
 
 
 def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:

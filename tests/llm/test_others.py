@@ -1,12 +1,14 @@
 import math
 import random
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.llm import cutoffs, languages, leaks, mixing, names, packing, splits, tables
+from loomgraph.llm.textkernel import Words
 
 
 # names ---------------------------------------------------------------------------------------------------------------
@@ -285,3 +287,24 @@ def test_every_query_runs_and_the_rest_does_not_need_this_package(spark):
     code = "import sys; sys.modules['loomgraph.llm'] = None; import __spark_entry__ as e; assert not any(k.startswith('p1_') for k in e.queries()) and e.queries()"
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
+
+
+def test_member_pairs_of_groups_of_any_size(spark, monkeypatch):
+    rows = [("g", f"m{i:02}") for i in range(30)] + [("h", "a"), ("h", "b"), ("i", "alone")]
+    df = spark.createDataFrame(rows, "grp string, m string")
+    every = {(a, b) for k in "ghi" for a, b in combinations(sorted(m for g, m in rows if g == k), 2)}
+    monkeypatch.setattr(splits, "PART", 7)
+    assert {tuple(r) for r in splits.member_pairs(df, "grp", "m", "x", "y").collect()} == every
+    monkeypatch.setattr(splits, "PAIRS", 10)
+    assert {tuple(r) for r in splits.member_pairs(df, "grp", "m", "x", "y").collect()} == {("m00", f"m{i:02}") for i in range(1, 30)} | {("a", "b")}
+
+
+def test_a_foreign_run_inside_a_sentence_without_stops():
+    words = {0: [f"en{i}" for i in range(40)], 1: [f"de{i}" for i in range(40)]}
+    slots = np.zeros(languages.SLOTS, languages.MASK)
+    for k, w in words.items():
+        for s in languages._slots(Words([" ".join(w)]).hash):
+            slots[s] |= languages.MASK(1 << k)
+    text = " ".join([*words[0][:30], *words[1][:20], *words[0][:30]])
+    of, first, size, worded, lang, share = languages.Detector(slots).segments([text])
+    assert lang.tolist() == [0, 1, 0] and size.sum() == 80 and abs(size[1] - 20) <= 6
