@@ -45,6 +45,8 @@ SLOTS = 1 << 20
 HASHES = 3
 #: words by which a sentence longer than that is decided piece by piece
 PIECE = 12
+#: share of a piece's words that must speak for its language
+CLEAR = 0.4
 #: the filter's slots hold a bit for each language
 MASK = next(t for t, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(CODES) <= n)
 _SALTS = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
@@ -141,7 +143,9 @@ class Detector:
         score = (counts - size[:, None] * self.false) / (1 - self.false)
         top = np.sort(score, axis=1)
         best = np.argmax(score, axis=1)
-        sure = (top[:, -1] >= 2) & (top[:, -1] >= top[:, -2] + 1)
+        # a part of a sentence must speak for itself more clearly: names and terms stand there too
+        part = ~new[begin] | np.append(~new[begin[1:]], False)
+        sure = (top[:, -1] >= np.where(part, np.maximum(2, CLEAR * size), 2)) & (top[:, -1] >= top[:, -2] + 1)
         text = w.text[begin]
         worded = np.add.reduceat(letters.astype(np.int32), begin)
         # a sentence without evidence joins the segment before it, or at a text's start the one after it
@@ -152,6 +156,28 @@ class Detector:
         source = np.where(before >= start, before, np.minimum(after, len(begin) - 1))
         valid = sure[source] & (text[source] == text)
         lang = np.where(valid, best[source], -1)
+        # where the language changes inside a sentence, the change is moved to the words where it fits best
+        turn = np.flatnonzero((text[1:] == text[:-1]) & (lang[1:] != lang[:-1]) & (lang[1:] >= 0) & (lang[:-1] >= 0) & ~new[begin[1:]]) + 1
+        if len(turn):
+            has = np.zeros((n + 1, len(CODES)), np.int32)
+            np.cumsum(_bits(mask), axis=0, out=has[1:])
+            ends = np.append(begin[1:], n)
+            low, high = np.maximum(begin[turn - 1] + 1, begin[turn] - PIECE), np.minimum(ends[turn] - 1, begin[turn] + PIECE)
+            at = np.clip(begin[turn][:, None] + np.arange(-PIECE, PIECE + 1), low[:, None], high[:, None])
+            fit_ = has[at, lang[turn - 1][:, None]] - has[at, lang[turn][:, None]]
+            # of places that fit as well the one nearest to the old
+            fit_ = fit_ * (4 * PIECE) - np.abs(at - begin[turn][:, None])
+            moved = np.take_along_axis(at, fit_.argmax(1)[:, None], 1)[:, 0]
+            begin = begin.copy()
+            begin[turn] = moved
+            begin = np.maximum.accumulate(begin)
+            keep = np.append(begin[1:] > begin[:-1], True)
+            begin, lang, text = begin[keep], lang[keep], text[keep]
+            size = np.diff(np.append(begin, n))
+            counts = np.add.reduceat(_bits(mask).astype(np.int32), begin, axis=0)
+            known = np.add.reduceat((mask > 0).astype(np.int32), begin)
+            score = (counts - size[:, None] * self.false) / (1 - self.false)
+            worded = np.add.reduceat(letters.astype(np.int32), begin)
         cut = _edges(text, lang)
         # a name or a foreign term inside a text of one language is no segment of its own
         few = np.add.reduceat(worded, cut) < RUNNING
