@@ -36,14 +36,20 @@ def canonical_json(text: Column) -> Column:
     return _canonical_json(text)
 
 
+_BLOCK, _LEVELS = 4096, 3
+
+
 def rows_digest(df: DataFrame, order: str, row: Column, folded: str = "digest") -> DataFrame:
     """SHA-256 over the digests of all rows (JSON text ``row``) in the order of the unique column ``order``.
 
-    The lines are hashed where they are, in blocks of consecutive order numbers; only the blocks' digests meet.
+    The lines are hashed where they are, in blocks of consecutive order numbers; blocks of digests are hashed in blocks again, so
+    that a task sees at most ``_BLOCK`` digests and the last one those of ``_BLOCK`` ** ``_LEVELS`` rows each.
     """
-    lines = df.select(F.col(order).alias("k"), F.sha2(canonical_json(row), 256).alias("d"))
-    blocks = lines.groupBy(F.floor(F.col("k") / 4096).alias("b")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "d"))), lambda x: x["d"]), ""), 256).alias("d"))
-    return blocks.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), ""), 256).alias(folded))
+    join = lambda: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "d"))), lambda x: x["d"]), ""), 256)
+    part = df.select(F.col(order).cast("long").alias("k"), F.sha2(canonical_json(row), 256).alias("d"))
+    for _ in range(_LEVELS):
+        part = part.groupBy(F.floor(F.col("k") / _BLOCK).alias("b")).agg(join().alias("d")).withColumnRenamed("b", "k")
+    return part.agg(join().alias(folded))
 
 
 def jsonl_digest(df: DataFrame, order: str, row: Column) -> str:

@@ -35,12 +35,16 @@ def group_export(rows: DataFrame, floor: float = 0.7, order: str = "ordinal", st
     key = F.coalesce(F.nullif("chunk_id", F.lit("")), "chunk_text", "evidence_text", F.lit(""))
     text = F.coalesce(F.nullif("chunk_text", F.lit("")), "evidence_text")
     r = rows.select(F.coalesce("accession_number", F.lit("")).alias("filing"), key.alias("chunk"), F.col(order).alias("o"), text.alias("text"), "filer", F.col("company_id").alias("company"), "item_key", "confidence", F.struct(F.col("relationship_type").alias("rel"), F.col("target").alias("target")).alias("c"), checked.alias("ok"), gold.alias("sure"))
-    first = F.min(F.struct("o", "text", "filer", "company", "item_key")).alias("f")
-    take = lambda cond: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("o", "c")))), lambda x: x["c"])
-    g = r.groupBy("filing", "chunk").agg(
-        first, take(F.col("ok") & F.col("sure")).alias("g"), take(F.col("ok") & ~F.col("sure")).alias("u"),
-        F.min(F.when(F.col("ok") & F.col("sure"), F.col("confidence"))).alias("confidence"), F.count_distinct("filer").alias("filers"),
+    first = F.struct("o", "text", "filer", "company", "item_key")
+    # a claim's rows come together before the claims of a group do, so repeated deliveries fill no array
+    at = lambda cond: F.min(F.when(cond, F.col("o")))
+    claims = r.groupBy("filing", "chunk", "c").agg(
+        F.min(first).alias("f"), at(F.col("ok") & F.col("sure")).alias("og"), at(F.col("ok") & ~F.col("sure")).alias("ou"),
+        F.min(F.when(F.col("ok") & F.col("sure"), F.col("confidence"))).alias("confidence"), F.min("filer").alias("fa"), F.max("filer").alias("fb"),
     )
+    take = lambda o: F.transform(F.array_sort(F.collect_list(F.when(F.col(o).isNotNull(), F.struct(F.col(o).alias("o"), "c")))), lambda x: x["c"]).alias(o[1])
+    filers = F.when(F.min("fa") != F.max("fb"), 2).otherwise(1).alias("filers")
+    g = claims.groupBy("filing", "chunk").agg(F.min("f").alias("f"), take("og"), take("ou"), F.min("confidence").alias("confidence"), filers)
     if strict:
         g = g.withColumn("filers", F.when(F.col("filers") > 1, F.raise_error(F.concat(F.lit("two filers in one chunk of "), "filing"))).otherwise(F.col("filers")))
     out = g.select("f.text", "f.filer", F.array_distinct("g").alias("triples"), "filing", "confidence", "f.company", "f.item_key", "chunk", F.array_except("u", "g").alias("uncertain"), "filers")
