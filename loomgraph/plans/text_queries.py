@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.digest import content_key
 from ..functions.taxonomy import TYPES
-from ..operators import governance
-from .construct_queries import CORE_SQL, _EXPORT, _JUDGE, export, judged
+from ..operators import construct, governance
+from .construct_queries import CORE_SQL, _EXPORT, _JUDGE, _PAIRS, export, judged, pairs
 from .graph_queries import table
 from .registry import query
 
@@ -65,7 +65,29 @@ def rule_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("ordinal", governance.rule_gates(F.col("target"), F.col("text")).alias("g")).select("ordinal", "g.grounded", "g.is_company", "g.filer_party", "g.passed")
 
 
-@query()
+_JOINED = "|".join(text.CONNECTORS)
+_QUOTED = lambda words: "[" + ", ".join(f"'{w}'" for w in sorted(words)) + "]"
+_NORM = "trim(regexp_replace(lower(%s), '[^a-z0-9 ]+', ' ', 'g'))"
+
+
+def _candidates(source: str, key: str, text_: str, filer: str) -> str:
+    """SQL: tables ending in ``cs`` of ``key`` and its ``spans`` in order, 64 at most."""
+    bare = f"trim(regexp_replace(regexp_replace(regexp_replace(x, '[.'',&-]+$', ''), '\\s+', ' ', 'g'), '(?i)(?:(?:^| )(?:{_JOINED}))+$', ''))"
+    span = text._SPAN.replace("'", "''")
+    several = f"len([w FOR w IN string_split(x, ' ') IF NOT list_contains({_QUOTED({*text.FURNITURE, *text.CONNECTORS})}, lower(w))]) > 0"
+    single = f"NOT list_contains({_QUOTED(text.FURNITURE)}, lower(x)) AND (length(x) >= 4 OR (upper(x) = x AND lower(x) <> x AND length(x) >= 2))"
+    keep = f"x <> '' AND CASE WHEN contains(x, ' ') THEN {several} ELSE {single} END AND {_NORM % 'x'} <> '' AND NOT starts_with({_NORM % f"coalesce({filer}, '')"}, {_NORM % 'x'})"
+    return f"""c1 AS (SELECT {key} AS key, {filer}, [{bare} FOR x IN regexp_extract_all({text_}, '{span}')] AS l FROM {source}),
+c2 AS (SELECT key, [x FOR x IN l IF {keep}] AS l FROM c1),
+cs AS (SELECT key, [x FOR x, i IN l IF list_position(l, x) = i][1:{text.LISTED}] AS spans FROM c2)"""
+
+
+def _match(target: str) -> str:
+    """SQL: the last of the ``spans`` with the target's normal name, else with its core name."""
+    return f"coalesce([x FOR x IN spans IF {_NORM % 'x'} = {_NORM % target}][-1], [x FOR x IN spans IF {CORE_SQL % 'x'} = {CORE_SQL % target}][-1])"
+
+
+@query(f"WITH {_EXPORT}, e AS (SELECT o, chunk_text, filer, target FROM v WHERE chunk_text IS NOT NULL AND target IS NOT NULL), {_candidates('e', 'o', 'chunk_text', 'filer')} SELECT key AS ordinal, len(spans)::INT AS n_spans, {_match('target')} AS matched FROM cs JOIN e ON e.o = cs.key")
 def candidate_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Capitalised spans of each chunk, without its filer, and which of them is each edge's target."""
     e = export(spark, sf_dir).filter("chunk_text is not null and target is not null")
@@ -73,6 +95,15 @@ def candidate_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("ordinal", F.size("spans").alias("n_spans"), text.match_candidate(F.col("target"), F.col("spans")).alias("matched"))
 
 
+@query(f"""WITH {_PAIRS}, e AS (SELECT filing || '|' || chunk AS k, text, filer, n FROM pairs WHERE text IS NOT NULL), {_candidates('e', 'k', 'text', 'filer')},
+h AS (SELECT DISTINCT ts.filing || '|' || ts.chunk AS k FROM ts JOIN cs ON cs.key = ts.filing || '|' || ts.chunk WHERE ts.gold AND {_match('ts.target')} IS NULL)
+SELECT k AS key, n > 0 AND (n >= 4 OR k IN (SELECT k FROM h)) AS hard FROM e""")
+def hard_chunk_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each chunk is hard: many claims, or a target that is none of its spans."""
+    p = pairs(spark, sf_dir).filter("text is not null")
+    return p.select(F.concat_ws("|", "filing", "chunk").alias("key"), construct.hard_chunk(F.col("triples"), F.col("text"), F.col("filer")).alias("hard"))
+
+
 @query()
 def marked_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often the filer is marked in each judged text."""

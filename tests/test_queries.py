@@ -51,3 +51,11 @@ def test_streamed_commits_equal_the_batch(spark):
     stream = {r.relation: r.provenances for r in registry.queries()["streamed_commits"](spark, DATA).collect()}
     batch = registry.queries()["edge_provenance_counts"](spark, DATA).groupBy("relation").sum("provenances").collect()
     assert stream == {r.relation: r[1] for r in batch}
+
+
+def test_hard_chunks_are_the_hard_ones_and_a_few_more(spark):
+    flags = {r.key: r.hard for r in registry.queries()["hard_chunk_flags"](spark, DATA).collect()}
+    got = {r.key: r for r in registry.queries()["hard_chunks"](spark, DATA).collect()}
+    picked = {k for k, r in got.items() if r.escalate} if "escalate" in next(iter(got.values())).asDict() else set(got)
+    hard = {k for k, v in flags.items() if v}
+    assert hard <= picked and len(picked - hard) <= 0.15 * (len(flags) - len(hard)) + 3
