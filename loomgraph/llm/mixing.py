@@ -123,3 +123,9 @@ def p6_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, targets = _edges(spark, sf_dir)
     rows = cut(rows)
     return sample(rows, cell_report(rows, targets, PART, CELL), CELL).withColumnRenamed("id", "row_id")
+
+
+def p6_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct records drawn of each cell."""
+    drawn = p6_sample(spark, sf_dir).distinct().groupBy(*CELL).agg(F.count("*").alias("drawn"))
+    return drawn

@@ -59,6 +59,14 @@ SQL |= {
 p AS (SELECT DISTINCT a.c AS x, b.c AS y FROM e a JOIN e b ON a.f = b.f AND a.c <> b.c),
 r AS (SELECT x, y FROM p UNION SELECT r.x, p.y FROM r JOIN p ON r.y = p.x)
 SELECT DISTINCT x AS company_a, y AS company_b FROM r WHERE x < y""",
+    "p3_groups": f"""WITH RECURSIVE t AS (SELECT row_id::VARCHAR AS k, CASE WHEN length({_FILING}) = 18 AND {_FILING} <> '000000000000000000' THEN {_FILING} END AS f,
+  CASE WHEN {_label("company_id")} NOT IN ('co-0000000', '') THEN {_label("company_id")} END AS c FROM company_relationships),
+e AS (SELECT DISTINCT f, c FROM t WHERE f IS NOT NULL AND c IS NOT NULL), p AS (SELECT DISTINCT a.c AS x, b.c AS y FROM e a JOIN e b USING (f)),
+r AS (SELECT x, y FROM p UNION SELECT r.x, p.y FROM r JOIN p ON r.y = p.x), l AS (SELECT x AS c, min(y) AS label FROM r GROUP BY 1), lf AS (SELECT f, min(label) AS label FROM e JOIN l USING (c) GROUP BY 1),
+a AS (SELECT 'company_relationships' AS record_table, k AS record_key, f, c FROM t WHERE k IS NOT NULL
+  UNION ALL SELECT 'judge_examples', example_id, CASE WHEN length(regexp_replace(filing, '[^0-9]', '', 'g')) = 18 AND regexp_replace(filing, '[^0-9]', '', 'g') <> '000000000000000000' THEN regexp_replace(filing, '[^0-9]', '', 'g') END, NULL FROM judge_examples WHERE example_id IS NOT NULL)
+SELECT record_table, record_key, coalesce(min(coalesce('c ' || coalesce(l.label, lf.label), 'f ' || a.f)), 'r ' || record_table || ' ' || record_key) AS grp
+FROM a LEFT JOIN l USING (c) LEFT JOIN lf ON lf.f = a.f GROUP BY record_table, record_key""",
     "p5_found": f"""WITH i AS (SELECT DISTINCT chunk_id, {_item("item_key")} AS source FROM company_relationships WHERE chunk_id IS NOT NULL),
 t AS (SELECT {_item("item_key")} AS source, max(keep_share) AS share FROM keep_targets GROUP BY 1),
 l AS (SELECT outcome_id, chunk_id, confidence, row_number() OVER (PARTITION BY outcome_id ORDER BY evaluated_at DESC NULLS LAST, confidence DESC NULLS LAST, chunk_id DESC NULLS LAST) AS k FROM extraction_outcomes WHERE outcome_id IS NOT NULL),
@@ -98,3 +106,6 @@ SQL["p8_found"] = rf"""WITH d AS (SELECT doc_id, regexp_extract_all({_PLAIN}, '[
 i AS (SELECT item_id, regexp_extract_all({_PLAIN}, '[\p{{L}}\p{{N}}]+') AS w FROM heldout_items WHERE text IS NOT NULL),
 x AS (SELECT doc_id, {_RUNS} AS g FROM d), y AS (SELECT item_id, {_RUNS} AS g FROM i)
 SELECT DISTINCT doc_id, item_id FROM x JOIN y USING (g)"""
+
+_REPORT = SQL["p6_cells"]
+SQL["p6_drawn"] = f"SELECT relationship_type, item_key, seats AS drawn FROM ({_REPORT}) WHERE seats > 0"
