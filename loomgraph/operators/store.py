@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.files import exists
 from ..plans.lineage import cut
 from . import graph
 
@@ -63,8 +64,7 @@ class EdgeStore:
         self.spark, self.path = spark, path
 
     def _there(self) -> bool:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+        return exists(self.spark, self.path)
 
     def edges(self) -> DataFrame:
         if not self._there():

@@ -126,8 +126,9 @@ def signal_verdict(metrics: DataFrame, failures: Sequence[str] = (), base: str =
     return each.agg(word.alias("verdict"))
 
 
-def comparison(rows: DataFrame, signals: Sequence[str], dims: DataFrame, budgets: Sequence[float] = BUDGETS) -> dict[str, DataFrame]:
-    """AUROC, budgets, exact frontier and buckets at 20 % of each signal, as tables."""
+def comparison(rows: DataFrame, signals: Sequence[str], dims: DataFrame, budgets: Sequence[float] = BUDGETS, tables: Sequence[str] = ("auroc", "budgets", "frontier", "buckets")) -> dict[str, DataFrame]:
+    """AUROC, budgets, exact frontier and buckets at 20 % of each signal, as tables; only the asked ``tables`` are made."""
+
     def of(f):
         parts = [f(s).withColumn("signal", F.lit(s)) for s in signals]
         out = parts[0]
@@ -135,12 +136,13 @@ def comparison(rows: DataFrame, signals: Sequence[str], dims: DataFrame, budgets
             out = out.unionByName(p)
         return out
 
-    return {
-        "auroc": of(lambda s: cascade.auroc(rows, s)),
-        "budgets": budget_metrics(rows, signals, budgets),
-        "frontier": of(lambda s: cascade.exact_frontier(rows, s)),
-        "buckets": of(lambda s: cascade.bucket_report(rows, dims, s, 0.2)),
+    make = {
+        "auroc": lambda: of(lambda s: cascade.auroc(rows, s)),
+        "budgets": lambda: budget_metrics(rows, signals, budgets),
+        "frontier": lambda: of(lambda s: cascade.exact_frontier(rows, s)),
+        "buckets": lambda: of(lambda s: cascade.bucket_report(rows, dims, s, 0.2)),
     }
+    return {t: make[t]() for t in tables}
 
 
 def manifest_failures(manifest: DataFrame, exact: Mapping[str, str], required: Sequence[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from ..operators import governance
 from ..streaming import commits
 from .construct_queries import _EXPORT, decisions, export
 from .graph_queries import table
+from .files import remove
 from .lineage import cut
 from .outcome_queries import _ROWS
 from .registry import query
@@ -73,7 +74,6 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_AUDIT} SELECT relation, count(*) AS provenances FROM au WHERE a AND b GROUP BY 1")
 def streamed_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The edge store after a stream of proposals was committed under governance, counted by relation."""
-    import shutil
     import uuid
 
     from .lineage import ensure_checkpoint_dir
@@ -84,6 +84,5 @@ def streamed_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(spark.read.parquet(f"{base}/in").schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
     commits.commit_stream(stream, _POLICIES(), f"{base}/edges", f"{base}/audits", f"{base}/state").awaitTermination()
     out = cut(spark.read.parquet(f"{base}/edges").groupBy("relation").agg(F.count("*").alias("provenances")))
-    if base.startswith("file:"):
-        shutil.rmtree(base[5:], ignore_errors=True)
+    remove(spark, base)
     return out

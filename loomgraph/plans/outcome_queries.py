@@ -126,6 +126,19 @@ def routing_auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cascade.auroc(rows(spark, sf_dir), "confidence")
 
 
+def _auroc_sql(signal: str) -> str:
+    return f"""SELECT '{signal}' AS signal, (sum(r) FILTER (NOT wrong) - count(*) FILTER (NOT wrong) * (count(*) FILTER (NOT wrong) + 1) / 2.0) / ((count(*) FILTER (NOT wrong))::DOUBLE * count(*) FILTER (wrong)) AS auroc
+FROM (SELECT fp + fn > 0 AS wrong, rank() OVER (ORDER BY {signal}) + (count(*) OVER (PARTITION BY {signal}) - 1) / 2.0 AS r FROM d)"""
+
+
+@query(f"WITH {_ROWS} {' UNION ALL '.join(map(_auroc_sql, ('confidence', 'agreement', 'min_agreement', 'conf_x_agree')))}")
+def comparison_auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The AUROC table of the comparison of all signals."""
+    r = cut(rows(spark, sf_dir))
+    dims = r.select("key", F.lit("all").alias("dimension"), F.lit("all").alias("bucket"))
+    return validation.comparison(r, ["confidence", "agreement", "min_agreement", "conf_x_agree"], dims, tables=("auroc",))["auroc"].select("signal", "auroc")
+
+
 @query(f"""WITH {_ROWS}, v AS (SELECT DISTINCT agreement AS v FROM d), m AS (SELECT row_number() OVER (ORDER BY v) - 1 AS i, (v + lead(v) OVER (ORDER BY v)) / 2 AS tau FROM v), k AS (SELECT count(*) AS n FROM m WHERE tau IS NOT NULL),
 j AS (SELECT DISTINCT floor(j * (n / 39.0::DOUBLE))::BIGINT AS i FROM k, range(39) AS x(j))
 SELECT tau FROM m, k WHERE tau IS NOT NULL AND (n <= 39 OR i IN (SELECT i FROM j)) UNION SELECT 0.0 UNION SELECT max(v) + 1e-9::DOUBLE FROM v""")

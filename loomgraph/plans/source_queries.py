@@ -11,6 +11,7 @@ from ..operators.store import EdgeStore
 from ..sources import kgqa, sinks
 from .governance_queries import _AUDIT, _POLICIES, governance, proposals
 from .graph_queries import _CLOSED, closed
+from .files import remove
 from .lineage import cut, ensure_checkpoint_dir
 from .registry import query
 from .traversal_queries import _GOLD, company_questions
@@ -69,18 +70,13 @@ def edge_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT 'run ' || r_regionkey AS run_label, r_regionkey / 10.0 AS hit, r_regionkey * 2.0 AS llm_calls FROM region")
 def summaries_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summaries of as many runs as there are regions, written one a file and read again."""
-    import shutil
-
     folder = _folder(spark)
     r = spark.read.parquet(f"{sf_dir}/region.parquet")
     s = r.select(
         F.concat(F.lit("run "), "r_regionkey").alias("run_label"), F.lit("regions").alias("dataset"), F.lit("dev").alias("split"), F.lit(1).cast("long").alias("n_questions"), F.lit(0.1).alias("lam"),
         F.create_map(F.lit("hit"), F.col("r_regionkey") / 10).alias("metrics"), F.create_map(F.lit("llm_calls"), F.col("r_regionkey") * 2.0).alias("mean_cost"),
     )
-    local = folder.removeprefix("file:")
-    if "://" in local.lstrip("/"):
-        return s.select("run_label", F.col("metrics")["hit"].alias("hit"), F.col("mean_cost")["llm_calls"].alias("llm_calls"))
-    sinks.write_summaries(s, local)
-    out = cut(kgqa.load_summaries(spark, local).select("run_label", F.col("metrics")["hit"].alias("hit"), F.col("mean_cost")["llm_calls"].alias("llm_calls")))
-    shutil.rmtree(local, ignore_errors=True)
+    sinks.write_summaries(s, folder)
+    out = cut(kgqa.load_summaries(spark, folder).select("run_label", F.col("metrics")["hit"].alias("hit"), F.col("mean_cost")["llm_calls"].alias("llm_calls")))
+    remove(spark, folder)
     return out

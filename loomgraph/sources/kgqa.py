@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.taxonomy import REVERSE
 from ..functions.text import strip
 from ..operators.graph import adjacency, entity_types, with_reverses
+from ..plans.files import exists
 
 # fixed values: the names a field may have, first one first
 FIELDS = {
@@ -29,11 +30,11 @@ SPLITS = {
 }
 
 
-def split_path(folder: str, split: str) -> str:
-    """The file of a split, by its own name or one that means the same."""
+def split_path(folder: str, split: str, spark: SparkSession | None = None) -> str:
+    """The file of a split, by its own name or one that means the same; with a session, on any file system."""
     tried = [os.path.join(folder, n) for n in SPLITS.get(split, (f"{split}.jsonl", f"{split}.json"))]
     for p in tried:
-        if os.path.exists(p):
+        if os.path.exists(p) if spark is None else exists(spark, p):
             return p
     raise FileNotFoundError(f"no file of split {split!r}: tried {', '.join(tried)}")
 
@@ -110,7 +111,7 @@ def records(lines: DataFrame, dataset: str, column: str = "value", order: str =
 
 def load_records(spark: SparkSession, folder: str, split: str, dataset: str, limit: int | None = None) -> DataFrame:
     """A split's records; ``limit`` takes the first in the order of the file."""
-    lines = json_lines(spark, split_path(folder, split))
+    lines = json_lines(spark, split_path(folder, split, spark))
     return records(lines.orderBy("ordinal").limit(limit) if limit is not None else lines, dataset)
 
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from pathlib import Path
+from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.taxonomy import TYPES
 from ..operators.construct import split_pairs, unit_split, vocabulary
+from ..plans.files import write_text
 from ..plans.prefix import running
 
 
@@ -87,15 +88,14 @@ def threshold_summaries(swept: DataFrame, n_questions: int) -> DataFrame:
     return swept.select(F.format_string("tau=%.4f", "tau").alias("run_label"), F.lit("backfill").alias("dataset"), "tau", F.lit(n_questions).cast("long").alias("n_questions"), m.alias("metrics"), cost.alias("mean_cost"))
 
 
-def write_summaries(summaries: DataFrame, folder: str) -> list[Path]:
-    """One ``….summary.json`` a run (a table of runs is small)."""
+def write_summaries(summaries: DataFrame, folder: str) -> list[PurePosixPath]:
+    """One ``….summary.json`` a run (a table of runs is small), on any file system; their paths."""
     out = []
-    Path(folder).mkdir(parents=True, exist_ok=True)
     for row in summaries.toJSON().collect():
         d = json.loads(row)
-        p = Path(folder, f"{d['run_label'].replace('=', '_')}.summary.json")
-        p.write_text(json.dumps(d, indent=2, sort_keys=True, ensure_ascii=False), encoding="utf-8")
-        out.append(p)
+        path = f"{folder.rstrip('/')}/{d['run_label'].replace('=', '_')}.summary.json"
+        out.append(PurePosixPath(path))
+        write_text(summaries.sparkSession, path, json.dumps(d, indent=2, sort_keys=True, ensure_ascii=False))
     return out
 
 
