@@ -2,7 +2,9 @@
 
 The state is one row a question: its frontier as an array of paths, and the spend. A hop is: candidate relations of the
 distinct frontier nodes, the controller's choice, the policies, the expansion to ``beam`` paths. Questions that have ended take no
-part in later hops; decisions leave the loop as rows and are put together once at the end.
+part in later hops; decisions leave the loop as rows and are put together once at the end, where the golds come back, too.
+
+How many distinct tails the nodes of a frontier have together is not found by listing them for each question: see ``Fanout``.
 
 Of a node's tails along a relation only the first ``beam`` can enter a frontier, so they are picked once, before the
 loop, by a group limit that works before the shuffle; a hop then adds at most ``beam`` * ``beam`` paths to a question.
@@ -191,6 +193,41 @@ def frontier_nodes(frontier: Column) -> Column:
     return F.array_distinct(F.transform(frontier, _node))
 
 
+class Fanout:
+    """The candidate relations of frontiers, with the number of distinct tails that their nodes have together.
+
+    The tails of a node and relation are a list with an id. The lists of a question's relation are put largest first, and each one's tails are looked
+    for in those before it, once for every such row of lists however many questions have it. So of hubs, which stand in the frontiers
+    of many questions, only few rows are listed, and a list that stands alone is not listed at all.
+    """
+
+    def __init__(self, graph: DataFrame, own: list[str]):
+        self.own = own
+        lists = graph.groupBy(*own, F.col("head").alias("node"), "relation").agg(F.count("*").alias("degree"), F.min("pos").alias("pos"))
+        self.lists = cut(lists.withColumn("list", F.monotonically_increasing_id()))
+        tails = cut(graph.select("tail").distinct().withColumn("t", F.monotonically_increasing_id()))
+        ided = graph.withColumnRenamed("head", "node").join(self.lists.drop("pos"), [*own, "node", "relation"]).select("list", "tail")
+        self.tails = cut(ided.join(tails, "tail").select("list", "t"))
+
+    def listed(self, row: DataFrame) -> DataFrame:
+        """``id, t, list``: the tails of the last list of each row of lists (``id, row``), with each list before it."""
+        last = row.select("id", F.element_at("row", -1).alias("list"), F.slice("row", F.lit(1), F.size("row") - 1).alias("before"))
+        return last.join(self.tails, "list").select("id", "t", F.explode("before").alias("list"))
+
+    def options(self, nodes: DataFrame) -> DataFrame:
+        """``qid, options`` (array of order, relation, degree) of the nodes of frontiers (``qid, place, node``; a node once a question)."""
+        at = nodes.join(self.lists, [*self.own, "node"])
+        ordered = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("degree")).alias("d"), "list"))), lambda x: x["list"])
+        each = cut(at.groupBy("qid", "relation").agg(F.min(F.struct("place", "pos")).alias("order"), F.sum("degree").alias("all"), ordered.alias("lists")))
+        rows = F.transform(F.sequence(F.lit(2), F.size("lists")), lambda n: F.slice("lists", F.lit(1), n))
+        several = each.filter(F.size("lists") > 1).select("qid", "relation", F.explode(rows).alias("row"))
+        row = cut(several.select("row").distinct().withColumn("id", F.monotonically_increasing_id()))
+        again = self.listed(row).join(self.tails, ["list", "t"]).select("id", "t").distinct().groupBy("id").agg(F.count("*").alias("again"))
+        twice = several.join(row.join(again, "id").select("row", "again"), "row").groupBy("qid", "relation").agg(F.sum("again").alias("twice"))
+        degree = (F.col("all") - F.coalesce("twice", F.lit(0))).alias("degree")
+        return each.join(twice, ["qid", "relation"], "left").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("order", "relation", degree))).alias("options"))
+
+
 def traverse(
     questions: DataFrame,
     edges: DataFrame,
@@ -211,12 +248,16 @@ def traverse(
     graph = cut(adjacency(edges))
     first = Window.partitionBy(*own, "head", "relation").orderBy("pos", "tail")
     ways = cut(graph.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= beam).select(*own, F.col("head").alias("node"), "relation", "place", "tail"))
+    fanout = Fanout(graph, own)
     sources = next((p.sources for p in policies if p.sources is not None), None)
+    if sources is not None:
+        on = [c for c in own if c in sources.columns]
+        sources = cut(sources.select(*on, F.col("head").alias("node"), "relation").distinct())
     strings = lambda c: F.coalesce(F.filter(F.col(c), lambda x: x.isNotNull()), F.array().cast("array<string>"))
-    q = questions.dropDuplicates(["qid"]).select("qid", F.coalesce("question", F.lit("")).alias("question"), strings("topics").alias("topics"), strings("golds").alias("golds"))
+    q = cut(questions.dropDuplicates(["qid"]).select("qid", F.coalesce("question", F.lit("")).alias("question"), strings("topics").alias("topics"), strings("golds").alias("golds")))
     root = F.transform("topics", lambda t: F.struct(t.alias("root"), F.array().cast("array<struct<head:string,relation:string,tail:string>>").alias("triples")).cast(PATH))
     zero = F.lit(0).cast("long")
-    state = cut(controller.prepare(q.select("qid", "question", "golds", root.alias("frontier"), F.lit(0).alias("step"), *[zero.alias(a) for a in AXES])))
+    state = cut(controller.prepare(q.select("qid", "question", root.alias("frontier"), F.lit(0).alias("step"), *[zero.alias(a) for a in AXES])))
     keep = state.columns
     ended: list[DataFrame] = []
     decided: list[DataFrame] = []
@@ -225,13 +266,9 @@ def traverse(
         ended.append(state.filter(~going))
         state = state.filter(going)
         nodes = state.select("qid", F.posexplode(frontier_nodes(F.col("frontier"))).alias("place", "node"))
-        reach = nodes.join(graph.withColumnRenamed("head", "node"), [*own, "node"])
-        each = reach.groupBy("qid", "relation").agg(F.count_distinct("tail").alias("degree"), F.min(F.struct("place", "pos")).alias("order"))
-        options = each.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("order", "relation", "degree"))).alias("options"))
-        met = state.join(options, "qid", "left")
+        met = state.join(fanout.options(nodes), "qid", "left")
         if sources is not None:
-            on = [c for c in own if c in sources.columns]
-            known = nodes.join(sources.select(*on, F.col("head").alias("node"), "relation").distinct(), [*on, "node"]).groupBy("qid").agg(F.collect_set("relation").alias("sourced"))
+            known = nodes.join(sources, [*on, "node"]).groupBy("qid").agg(F.collect_set("relation").alias("sourced"))
             met = met.join(known, "qid", "left")
         chosen = controller.decide(met.filter("options is not null")).withColumn("nodes", frontier_nodes(F.col("frontier")))
         chosen = chosen.withColumns({"llm_calls": F.col("llm_calls") + 1, "prompt_tokens": F.col("prompt_tokens") + F.col("_prompt"), "gen_tokens": F.col("gen_tokens") + F.col("_gen")})
@@ -250,14 +287,15 @@ def traverse(
         hop = paths.join(ways, [*own, "node", "relation"])
         grown = F.struct(F.col("path.root").alias("root"), F.concat("path.triples", F.array(F.struct(F.col("node").alias("head"), F.col("relation"), F.col("tail")))).alias("triples"))
         new = hop.groupBy("qid").agg(F.slice(F.array_sort(F.collect_list(F.struct("path_idx", "place", grown.alias("p")))), 1, beam).alias("l"))
-        went = cut(go.select(*keep).join(new.select("qid", F.transform("l", lambda x: x["p"]).alias("next")), "qid", "left"))
-        ended.append(went.filter("next is null").select(*keep))
-        state = went.filter("next is not null").withColumns({"frontier": F.col("next").cast(f"array<{PATH}>"), "step": F.col("step") + 1, "hops": F.col("hops") + 1}).select(*keep)
+        went = go.select(*keep).join(new.select("qid", F.transform("l", lambda x: x["p"]).cast(f"array<{PATH}>").alias("next")), "qid", "left").withColumn("moved", F.col("next").isNotNull())
+        went = cut(went.withColumn("frontier", F.coalesce("next", "frontier")).drop("next"))
+        ended.append(went.filter("not moved").select(*keep))
+        state = went.filter("moved").withColumns({"step": F.col("step") + 1, "hops": F.col("hops") + 1}).select(*keep)
         if state.isEmpty():
             break
     ended.append(state)
     union = lambda frames: frames[0] if len(frames) == 1 else frames[0].unionByName(union(frames[1:]))
-    out = union([e.select(*keep) for e in ended])
+    out = union([e.select(*keep) for e in ended]).join(q.select("qid", "golds"), "qid").select("qid", "question", "golds", *keep[2:])
     if decided:
         steps = union(decided).groupBy("qid").agg(F.array_sort(F.collect_list("trace"), lambda x, y: x["step"] - y["step"]).alias("steps"))
         out = out.join(steps, "qid", "left").withColumn("steps", F.coalesce("steps", F.array().cast(f"array<{_STEP}>")))

@@ -18,9 +18,12 @@ BEAM = 4
 FEW = 2
 
 
-def company_questions(spark: SparkSession, sf_dir: str, edges: DataFrame) -> DataFrame:
+def company_questions(spark: SparkSession, sf_dir: str, edges: DataFrame, answered: bool = True) -> DataFrame:
+    """A question for each company; its golds only where they are ``answered`` for, else none."""
     e = edges.select("head", "relation", "tail")
     start = e.select(F.col("head").alias("source"), F.col("head").alias("node")).distinct()
+    if not answered:
+        return start.select(F.col("source").alias("qid"), F.concat(F.lit("of "), "source").alias("question"), F.array("source").alias("topics"), F.array().cast("array<string>").alias("golds"))
     golds = graph.follow(start, edges, ["competitor_of", "has_subsidiary"]).groupBy(F.col("source").alias("qid")).agg(F.array_sort(F.collect_set("node")).alias("golds"))
     return start.select(F.col("source").alias("qid")).join(golds, "qid", "left").select("qid", F.concat(F.lit("of "), "qid").alias("question"), F.array("qid").alias("topics"), F.coalesce("golds", F.array().cast("array<string>")).alias("golds"))
 
@@ -51,9 +54,9 @@ m AS (SELECT s.*, CASE WHEN tp > 0 THEN 1.0 ELSE 0.0 END AS hit, CASE WHEN tp >
 _WALK = f"{_CLOSED}, {_GOLD}, {_START}, {_options(0)}, {_widest(0)}, {_hop(0, BEAM)}, {_options(1)}, {_widest(1)}, {_hop(1, BEAM)}, {_options(2)}, {_LAST}, r AS (SELECT m.*, hops + CASE WHEN hops = 2 AND n2.qid IS NOT NULL THEN 1 ELSE 0 END AS llm_calls FROM m LEFT JOIN n2 USING (qid))"
 
 
-def _run(spark: SparkSession, sf_dir: str, controller: traverse.Controller | None = None, budget: traverse.Budget | None = None, policies=()) -> DataFrame:
+def _run(spark: SparkSession, sf_dir: str, controller: traverse.Controller | None = None, budget: traverse.Budget | None = None, policies=(), answered: bool = True) -> DataFrame:
     e = cut(closed(spark, sf_dir))
-    return traverse.traverse(company_questions(spark, sf_dir, e), e, controller or traverse.DegreeController(2), budget or traverse.Budget(3, 50), BEAM, policies=policies)
+    return traverse.traverse(company_questions(spark, sf_dir, e, answered), e, controller or traverse.DegreeController(2), budget or traverse.Budget(3, 50), BEAM, policies=policies)
 
 
 @query(f"WITH {_WALK} SELECT qid, answers, hops, llm_calls, hit, f1 FROM r")
@@ -117,7 +120,7 @@ au AS (SELECT * FROM p0 UNION ALL SELECT * FROM p1 UNION ALL SELECT qid, 2, '',
 @query(f"WITH {_GOVERNED} SELECT qid, step, relation, allowed AS relation_allowlist, floor AS confidence_floor, sourced AS provenance_required, confidence FROM au")
 def hop_audits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audits under an allowlist and a provenance rule that only warn and a floor that blocks."""
-    a = governance.hop_audits(_run(spark, sf_dir, policies=_policies(spark, sf_dir)))
+    a = governance.hop_audits(_run(spark, sf_dir, policies=_policies(spark, sf_dir), answered=False))
     return a.select("qid", "step", "relation", *[F.col(f"checks_passed.{n}").alias(n) for n in ("relation_allowlist", "confidence_floor", "provenance_required")], "confidence")
 
 

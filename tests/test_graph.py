@@ -91,6 +91,25 @@ def test_script_controller_and_mining(spark):
     assert (s.questions, s.unreachable, s.mined, s.depths) == (2, 1, 1, {2: 1})
 
 
+def test_fanout_lists_hubs_once_for_all_questions(spark, monkeypatch):
+    rows = [("h0", "r", f"t{i}") for i in range(300)] + [("h1", "r", f"t{i}") for i in range(100, 350)] + [("h2", "r", f"t{i}") for i in range(290, 330)] + [("h2", "s", "x"), ("lone", "r", "t0")]
+    g = graph.adjacency(edges(spark, rows).drop("qid"))
+    fronts = [(f"q{q}", p, n) for q in range(80) for p, n in enumerate(["h2", "h1", "h0"] if q % 2 else ["lone", "h1"])]
+    counted, real = [], traverse.Fanout.listed
+    monkeypatch.setattr(traverse.Fanout, "listed", lambda self, row: counted.append(real(self, row).count()) or real(self, row))
+    got = {r.qid: [(o.relation, o.degree, tuple(o.order)) for o in r.options] for r in traverse.Fanout(g, []).options(spark.createDataFrame(fronts, "qid string, place int, node string")).collect()}
+    assert got["q0"] == [("r", 251, (0, 591))] and got["q1"] == [("r", 350, (0, 550)), ("s", 1, (0, 590))] and len(got) == 80
+    assert counted == [250 + 2 * 40 + 1]  # not the 80 frontiers' 33,680 tails
+
+
+def test_traversal_carries_no_golds(spark, monkeypatch):
+    cuts, real = [], traverse.cut
+    monkeypatch.setattr(traverse, "cut", lambda df: cuts.append(df.columns) or real(df))
+    r = run(spark, FAN, ("q", "?", ["a"], ["b1", "zz"]), traverse.DegreeController(2)).first()
+    assert r.golds == ["b1", "zz"] and r.hit == 0.0 and r.answers == ["d"]
+    assert sum("golds" in c for c in cuts) == 1
+
+
 def test_policies_audit_and_block(spark):
     policies = governance.build_policies([{"name": "relation_allowlist", "patterns": ["r_l*"]}])
     r = run(spark, FAN, ("q", "?", ["a"], ["b1"]), traverse.DegreeController(2), policies=policies)
