@@ -122,20 +122,50 @@ def frontier_distance(frontier: DataFrame, dist: DataFrame, cap: int) -> DataFra
     return frontier.join(dist, on, "left").groupBy("qid").agg(F.coalesce(F.min("dist"), F.lit(cap)).alias("dist"))
 
 
-def neighborhood(topics: DataFrame, edges: DataFrame, depth: int, most: int = 200, seed: int = 42, must: DataFrame | None = None) -> DataFrame:
-    """Edges within ``depth + 1`` hops of each topic (``qid, node``); where more than ``most``, those of least hash, and always ``must``."""
-    shared = adjacency(edges.drop("qid"))
+#: rows that one task of the neighbourhoods' join makes of one node
+CELL = 1_000_000
+
+
+def _within(topics: DataFrame, shared: DataFrame, depth: int) -> DataFrame:
+    """``qid, node``: the nodes at most ``depth`` hops from each topic, each once."""
+    ways = shared.select(F.col("head").alias("node"), F.col("tail").alias("next")).distinct()
     seen = cut(topics.select("qid", "node").distinct())
-    last, found = seen, None
-    for _ in range(depth + 1):
-        hop = cut(last.join(shared.withColumnRenamed("head", "node"), "node").select("qid", F.col("node").alias("head"), "relation", "tail", "pos"))
-        found = hop if found is None else found.unionByName(hop)
-        last = cut(hop.select("qid", F.col("tail").alias("node")).distinct().join(seen, ["qid", "node"], "left_anti"))
+    last = seen
+    for _ in range(depth):
+        last = cut(last.join(ways, "node").select("qid", F.col("next").alias("node")).distinct().join(seen, ["qid", "node"], "left_anti"))
         if last.isEmpty():
             break
         seen = seen.unionByName(last)
-    pick = Window.partitionBy("qid").orderBy(F.xxhash64(F.lit(seed), "qid", "head", "relation", "tail"), "head", "relation", "tail")
-    kept = found.distinct().withColumn("_r", F.row_number().over(pick)).filter(F.col("_r") <= most).drop("_r")
+    return seen
+
+
+def _edges_from(at: DataFrame, shared: DataFrame) -> DataFrame:
+    """``qid, head, relation, tail, pos``: the edges of the nodes of each ``qid``. A hub's many edges for many ``qid`` are a grid of cells, each joined on its own."""
+    e = shared.withColumnRenamed("head", "node")
+    both = at.groupBy("node").agg(F.count("*").alias("_n")).join(e.groupBy("node").agg(F.count("*").alias("_m")), "node").filter(F.col("_n") * F.col("_m") > CELL)
+    side = F.broadcast(cut(both.select("node", F.ceil(F.sqrt(F.col("_n") * F.col("_m") / F.lit(float(CELL)))).cast("int").alias("_side"))))
+    every = F.explode(F.sequence(F.lit(0), F.col("_side") - 1))
+    dealt = lambda df, *ident: df.join(side, "node", "left").withColumn("_side", F.coalesce("_side", F.lit(1))).withColumn("_i", F.pmod(F.xxhash64(*ident), F.col("_side")).cast("int"))
+    left = dealt(at, "qid").withColumn("_j", every).select("qid", "node", "_i", "_j")
+    right = dealt(e, "relation", "tail").withColumnRenamed("_i", "_j").withColumn("_i", every).select("node", "relation", "tail", "pos", "_i", "_j")
+    return left.join(right, ["node", "_i", "_j"]).select("qid", F.col("node").alias("head"), "relation", "tail", "pos")
+
+
+def neighborhood(topics: DataFrame, edges: DataFrame, depth: int, most: int = 200, seed: int = 42, must: DataFrame | None = None) -> DataFrame:
+    """Edges within ``depth + 1`` hops of each topic (``qid, node``); where more than ``most``, those of least hash, and always ``must``.
+
+    A node is reached once, so its edges need no comparison with others: those of topics with ``most`` or fewer leave the join as they are.
+    """
+    shared = cut(adjacency(edges.drop("qid")))
+    at = _within(topics, shared, depth)
+    over = at.join(shared.groupBy(F.col("head").alias("node")).agg(F.count("*").alias("n")), "node").groupBy("qid").agg(F.sum("n").alias("n")).filter(F.col("n") > most).select("qid")
+    over = cut(over)
+    if over.isEmpty():
+        kept = _edges_from(at, shared)
+    else:
+        pick = Window.partitionBy("qid").orderBy(F.xxhash64(F.lit(seed), "qid", "head", "relation", "tail"), "head", "relation", "tail")
+        large = _edges_from(at.join(over, "qid", "left_semi"), shared).withColumn("_r", F.row_number().over(pick)).filter(F.col("_r") <= most).drop("_r")
+        kept = _edges_from(at.join(over, "qid", "left_anti"), shared).unionByName(large)
     return kept if must is None else kept.unionByName(must.select(*kept.columns)).distinct()
 
 

@@ -52,6 +52,22 @@ def test_shortest_script_prefers_first_stored_way(spark):
     assert got == {"q": ["shortcut"], "q2": [], "q3": None}
 
 
+def test_neighborhoods_of_a_hub(spark, monkeypatch):
+    rows = [(f"q{i}", "to", "hub") for i in range(30)] + [("hub", "r", f"t{i}") for i in range(40)] + [("hub", "r", "q3"), ("q3", "s", "hub")]
+    e = edges(spark, rows).drop("qid")
+    topics = spark.createDataFrame([(f"q{i}", f"q{i}") for i in range(30)], "qid string, node string")
+    out = {h: [r for r in rows if r[0] == h] for h in {r[0] for r in rows}}
+    want = {(q, *x) for q in (f"q{i}" for i in range(30)) for n in (q, "hub") for x in out[n]}
+    counted, real = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: counted.append(real(df).count()) or real(df))
+    monkeypatch.setattr(graph, "CELL", 50, raising=False)
+    got = [tuple(r) for r in graph.neighborhood(topics, e, 1, most=1 << 30).select("qid", "head", "relation", "tail").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert max(counted) < 100  # before, the 30 times 41 edges stood in a checkpoint
+    some = graph.neighborhood(topics, e, 1, most=42).groupBy("qid").count().collect()
+    assert {r.qid: r["count"] for r in some} == {f"q{i}": 42 for i in range(30)}
+
+
 def run(spark, rows, question, controller, **kw):
     q = spark.createDataFrame([question], Q)
     return traverse.traverse(q, edges(spark, rows, question[0]), controller, **kw)
