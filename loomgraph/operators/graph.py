@@ -139,6 +139,12 @@ def _within(topics: DataFrame, shared: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
+def neighborhood_sizes(topics: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+    """``qid, edges``: how many edges are within ``depth + 1`` hops of each topic, from the nodes' degrees; topics without edges are left out."""
+    shared = adjacency(edges.drop("qid"))
+    return _within(topics, shared, depth).join(shared.groupBy(F.col("head").alias("node")).agg(F.count("*").alias("n")), "node").groupBy("qid").agg(F.sum("n").alias("edges"))
+
+
 def _edges_from(at: DataFrame, shared: DataFrame) -> DataFrame:
     """``qid, head, relation, tail, pos``: the edges of the nodes of each ``qid``. A hub's many edges for many ``qid`` are a grid of cells, each joined on its own."""
     e = shared.withColumnRenamed("head", "node")

@@ -68,6 +68,14 @@ def test_neighborhoods_of_a_hub(spark, monkeypatch):
     assert {r.qid: r["count"] for r in some} == {f"q{i}": 42 for i in range(30)}
 
 
+def test_neighborhood_sizes_list_no_edges(spark):
+    e = edges(spark, FAN + [("b1", "r_next", "a"), ("z", "r", "zz")]).drop("qid")
+    topics = spark.createDataFrame([("q", "a"), ("q", "b1"), ("p", "c"), ("s", "z")], "qid string, node string")
+    got = graph.neighborhood_sizes(topics, e, 1)
+    assert {r.qid: r.edges for r in got.collect()} == {"q": 5, "s": 1}
+    assert {r.qid: r["count"] for r in graph.neighborhood(topics, e, 1).groupBy("qid").count().collect()} == {"q": 5, "s": 1}
+
+
 def run(spark, rows, question, controller, **kw):
     q = spark.createDataFrame([question], Q)
     return traverse.traverse(q, edges(spark, rows, question[0]), controller, **kw)
