@@ -175,27 +175,43 @@ def neighborhood(topics: DataFrame, edges: DataFrame, depth: int, most: int = 20
     return kept if must is None else kept.unionByName(must.select(*kept.columns)).distinct()
 
 
+def _ways_to(at: DataFrame, step: DataFrame, gold: DataFrame, own: list[str]) -> DataFrame:
+    """``at`` (``qid, node``, …) with the edges ``step`` that lead from a row's node to a gold (``qid, node``) of its question.
+
+    Of a node's edges and a question's golds, the fewer are gone through and looked for among the others.
+    """
+    edges = step.groupBy(*own, "node").agg(F.count("*").alias("_edges"))
+    golds = gold.groupBy("qid").agg(F.count("*").alias("_golds"))
+    each = at.join(golds, "qid").join(edges, [*own, "node"])
+    by_edge = each.filter("_edges <= _golds").join(step, [*own, "node"]).join(gold.withColumnRenamed("node", "next"), ["qid", "next"], "left_semi")
+    by_gold = each.filter("_edges > _golds").join(gold.withColumnRenamed("node", "next"), "qid").join(step, [*own, "node", "next"])
+    names = [*at.columns, "relation", "next", "pos"]
+    return by_edge.select(*names).unionByName(by_gold.select(*names))
+
+
 def shortest_scripts(questions: DataFrame, edges: DataFrame, most: int) -> DataFrame:
     """``qid, script``: the relations of the shortest way from a topic to a gold, null if there is none within ``most`` hops.
 
     Breadth-first in stored order: of several shortest ways the one first found from the first topic, by the edges'
-    positions. A topic that is gold has the empty script.
+    positions. A topic that is gold has the empty script. The last hop goes to golds only; questions without golds take no part.
     """
     own = _own(edges)
     step = edges.select(*own, F.col("head").alias("node"), "relation", F.col("tail").alias("next"), "pos")
-    topics = questions.select("qid", F.posexplode("topics").alias("t", "node"))
+    asked = cut(questions.select("qid", "topics", F.array_distinct("golds").alias("golds")))
+    gold = asked.select("qid", F.explode("golds").alias("node")).filter("node is not null")
+    topics = asked.filter("size(golds) > 0").select("qid", F.posexplode("topics").alias("t", "node"))
     empty = F.array().cast("array<string>")
     level = cut(topics.groupBy("qid", "node").agg(F.min("t").alias("order")).withColumn("script", empty))
-    gold = questions.select("qid", F.explode("golds").alias("node")).distinct()
     seen, found = level.select("qid", "node"), None
     for d in range(most + 1):
         first = F.min(F.struct("order", "script")).alias("b")
-        here = cut(level.join(gold, ["qid", "node"], "left_semi").groupBy("qid").agg(first).select("qid", "b.script"))
+        near = level if d and d == most else level.join(gold, ["qid", "node"], "left_semi")
+        here = cut(near.groupBy("qid").agg(first).select("qid", "b.script"))
         found = here if found is None else found.unionByName(here)
         if d == most:
             break
         open_ = level.join(here, "qid", "left_anti")
-        way = open_.join(step, [*own, "node"] if own else ["node"])
+        way = open_.join(step, [*own, "node"]) if d + 1 < most else _ways_to(open_, step, gold, own)
         best = F.min(F.struct("order", "pos", F.concat("script", F.array("relation")).alias("script"))).alias("b")
         nxt = way.groupBy("qid", F.col("next").alias("node")).agg(best).join(seen, ["qid", "node"], "left_anti")
         rank = F.row_number().over(Window.partitionBy("qid").orderBy("b.order", "b.pos", "node"))
@@ -203,7 +219,7 @@ def shortest_scripts(questions: DataFrame, edges: DataFrame, most: int) -> DataF
         if level.isEmpty():
             break
         seen = seen.unionByName(level.select("qid", "node"))
-    return questions.select("qid").join(found, "qid", "left")
+    return asked.select("qid").join(found, "qid", "left")
 
 
 def shaping_deltas(distances: Column, final: Column, scale: float) -> Column:

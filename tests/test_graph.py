@@ -52,6 +52,17 @@ def test_shortest_script_prefers_first_stored_way(spark):
     assert got == {"q": ["shortcut"], "q2": [], "q3": None}
 
 
+def test_the_last_hop_of_a_script_goes_to_golds_only(spark, monkeypatch):
+    hub = [("hub", "r", f"t{i}") for i in range(200)] + [("hub", "s", "t7")]
+    e = edges(spark, [(f"q{i}", "to", "hub") for i in range(50)] + hub).drop("qid")
+    q = spark.createDataFrame([(f"q{i}", "?", [f"q{i}"], ["t7", "nowhere"] if i < 40 else []) for i in range(50)] + [("near", "?", ["hub"], [f"t{i}" for i in range(199, 90, -1)])], Q)
+    counted, real = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: counted.append(real(df).count()) or real(df))
+    got = {r.qid: r.script for r in graph.shortest_scripts(q, e, 2).collect()}
+    assert got == {f"q{i}": ["to", "r"] if i < 40 else None for i in range(50)} | {"near": ["r"]}
+    assert max(counted) <= 300  # before, 50 times the hub's 200 tails
+
+
 def test_neighborhoods_of_a_hub(spark, monkeypatch):
     rows = [(f"q{i}", "to", "hub") for i in range(30)] + [("hub", "r", f"t{i}") for i in range(40)] + [("hub", "r", "q3"), ("q3", "s", "hub")]
     e = edges(spark, rows).drop("qid")
