@@ -77,7 +77,7 @@ def harness_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_WALK} SELECT qid, 0 AS step, relation, d::DOUBLE AS score FROM c0 UNION ALL SELECT qid, 1, relation, d FROM c1 UNION ALL SELECT qid, 2, NULL, 1.0 FROM n2")
 def trajectory_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The decisions of every trajectory, in order."""
-    return traverse.trajectory_steps(_run(spark, sf_dir)).select("qid", "step", "action.relation", "action.score")
+    return traverse.trajectory_steps(_run(spark, sf_dir, answered=False)).select("qid", "step", "action.relation", "action.score")
 
 
 _TOKENS = f"""{_WALK}, p AS (SELECT n0.qid, 10 * n0.options AS p0, 10 * n1.options AS p1, 10 * n2.options AS p2 FROM n0 LEFT JOIN n1 USING (qid) LEFT JOIN n2 USING (qid))
@@ -90,7 +90,7 @@ SELECT qid, CASE WHEN p0 >= 40 OR p1 IS NULL THEN 1 ELSE 2 END AS hops, CASE WHE
 def traversal_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A controller that pays ten prompt tokens a candidate and three generated ones a decision, until forty prompt tokens are spent."""
     c = traverse.Metered(traverse.DegreeController(2), F.size("options") * 10, F.lit(3))
-    r = _run(spark, sf_dir, c, traverse.Budget(None, None, max_prompt_tokens=40))
+    r = _run(spark, sf_dir, c, traverse.Budget(None, None, max_prompt_tokens=40), answered=False)
     return r.select("qid", "hops", "llm_calls", "prompt_tokens", "gen_tokens")
 
 
