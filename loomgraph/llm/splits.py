@@ -20,7 +20,7 @@ from .tables import plain_company, plain_filing, plain_label, plain_split, table
 
 LARGE = 20_000
 LABELS = 64
-#: components up to this many members are given as all pairs, larger ones as pairs with their least member
+#: unless all pairs are asked for, groups up to this many members are given as all pairs, larger ones as pairs with their least member
 PAIRS = 10_000
 #: members of a component that one task pairs with all others
 PART = 200
@@ -50,14 +50,15 @@ def components(edges: DataFrame) -> DataFrame:
     return cut(label.unionByName(alone.withColumn("label", F.col("entity"))))
 
 
-def member_pairs(members: DataFrame, group: str, member: str, a: str, b: str) -> DataFrame:
-    """Pairs ``a < b`` of the members of each group of up to ``PAIRS``; the members of larger groups each with the group's least.
+def member_pairs(members: DataFrame, group: str, member: str, a: str, b: str, whole: bool = False) -> DataFrame:
+    """Pairs ``a < b`` of the members of each group of up to ``PAIRS``, or of every group if ``whole``; the members of other groups each with the group's least.
 
     A group's members are dealt to parts, and every part is joined with the whole group, so no task pairs more than ``PART`` members with it.
     """
     size = members.groupBy(group).agg(F.count("*").alias("_n"), F.min(member).alias("_least")).filter("_n > 1")
-    m = cut(members.select(group, member).join(size, group).withColumn("_parts", F.when(F.col("_n") <= PAIRS, F.ceil(F.col("_n") / PART)).otherwise(1).cast("int")))
-    left = m.filter((F.col("_n") <= PAIRS) | (F.col(member) == F.col("_least"))).select(group, F.col(member).alias(a), F.pmod(F.xxhash64(member), F.col("_parts")).cast("int").alias("_part"))
+    every = F.lit(True) if whole else F.col("_n") <= PAIRS
+    m = cut(members.select(group, member).join(size, group).withColumn("_parts", F.when(every, F.ceil(F.col("_n") / PART)).otherwise(1).cast("int")))
+    left = m.filter(every | (F.col(member) == F.col("_least"))).select(group, F.col(member).alias(a), F.pmod(F.xxhash64(member), F.col("_parts")).cast("int").alias("_part"))
     right = m.select(group, F.col(member).alias(b), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
     return left.join(right, [group, "_part"]).filter(F.col(a) < F.col(b)).select(a, b)
 
@@ -68,7 +69,7 @@ def _ties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return member_pairs(components(_ties(spark, sf_dir)), "label", "entity", "company_a", "company_b")
+    return member_pairs(components(_ties(spark, sf_dir)), "label", "entity", "company_a", "company_b", whole=True)
 
 
 def _gain(have: np.ndarray, want: np.ndarray, add: np.ndarray) -> np.ndarray:

@@ -299,6 +299,15 @@ def test_member_pairs_of_groups_of_any_size(spark, monkeypatch):
     assert {tuple(r) for r in splits.member_pairs(df, "grp", "m", "x", "y").collect()} == {("m00", f"m{i:02}") for i in range(1, 30)} | {("a", "b")}
 
 
+def test_p3_found_gives_all_pairs_at_any_size(spark, monkeypatch):
+    rows = [(f"f{i}", f"c{j:02}") for i in range(29) for j in (i, i + 1)] + [("x", "d1"), ("x", "d2")]
+    monkeypatch.setattr(splits, "_ties", lambda *_: spark.createDataFrame(rows, "record string, entity string"))
+    monkeypatch.setattr(splits, "PAIRS", 10)
+    monkeypatch.setattr(splits, "PART", 7)
+    got = [tuple(r) for r in splits.p3_found(spark, "").collect()]
+    assert len(got) == len(set(got)) and set(got) == {*combinations([f"c{i:02}" for i in range(30)], 2), ("d1", "d2")}
+
+
 def test_a_foreign_run_inside_a_sentence_without_stops():
     words = {0: [f"en{i}" for i in range(40)], 1: [f"de{i}" for i in range(40)]}
     slots = np.zeros(languages.SLOTS, languages.MASK)
