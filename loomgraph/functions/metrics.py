@@ -45,10 +45,11 @@ def answer_recall(pred: Column, gold: Column) -> Column:
     return ratio(c, g, 0.0)
 
 
-def answer_f1(pred: Column, gold: Column) -> Column:
-    """Harmonic mean of both; without golds 1 if there are no answers, else 0."""
-    _, p, g = _common(pred, gold)
-    return F.when(g == 0, (p == 0).cast("double")).otherwise(harmonic(answer_precision(pred, gold), answer_recall(pred, gold)))
+def answer_f1(pred: Column, gold: Column, n_gold: Column | None = None) -> Column:
+    """Harmonic mean of both; without golds 1 if there are no answers, else 0. ``n_gold``: how many golds there are, where ``gold`` has only those among the answers."""
+    c, p, g = _common(pred, gold)
+    g = g if n_gold is None else n_gold
+    return F.when(g == 0, (p == 0).cast("double")).otherwise(harmonic(ratio(c, p, 0.0), ratio(c, g, 0.0)))
 
 
 def chunk_f1(gold: Column, pred: Column) -> Column:
@@ -75,8 +76,8 @@ def normalized_cost(cost: Column, cap: float) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), cost / cap))
 
 
-def reward(pred: Column, gold: Column, cost: Column, lam: float = 0.1, cap: float = 20.0, correct: str = "f1", mode: str = "cost", oracle: Column | None = None) -> Column:
-    """Correctness less ``lam`` times the normalised cost; mode ``regret`` counts only the cost beyond the oracle's."""
+def reward(pred: Column, gold: Column, cost: Column, lam: float = 0.1, cap: float = 20.0, correct: str = "f1", mode: str = "cost", oracle: Column | None = None, n_gold: Column | None = None) -> Column:
+    """Correctness less ``lam`` times the normalised cost; mode ``regret`` counts only the cost beyond the oracle's. ``n_gold`` as in ``answer_f1``."""
     if lam < 0:
         raise ValueError("lam must not be negative")
     if correct not in ("f1", "hit"):
@@ -87,7 +88,7 @@ def reward(pred: Column, gold: Column, cost: Column, lam: float = 0.1, cap: floa
         if oracle is None:
             raise ValueError("regret needs the oracle's cost")
         cost = F.greatest(F.lit(0.0), cost - oracle)
-    return (answer_f1(pred, gold) if correct == "f1" else hit(pred, gold)) - lam * normalized_cost(cost, cap)
+    return (answer_f1(pred, gold, n_gold) if correct == "f1" else hit(pred, gold)) - lam * normalized_cost(cost, cap)
 
 
 def log_sum_exp(values: Column) -> Column:

@@ -76,6 +76,19 @@ def follow(start: DataFrame, edges: DataFrame, sequence: Sequence[str]) -> DataF
     return at
 
 
+def reached_ids(edges: DataFrame, first: str, second: str) -> tuple[DataFrame, DataFrame]:
+    """What ``follow`` reaches from each head along two relations, as ``qid, reached`` (array of ids, each once), and the nodes' ids as ``node, id``.
+
+    A node's tails along ``second`` are one list, which each source with an edge to the node takes whole, so no row of a source and a node is made. The lists
+    of a source hold an edge of ``second`` once.
+    """
+    last = edges.filter(F.col("relation") == second).select(F.col("head").alias("middle"), F.col("tail").alias("node")).distinct()
+    ids = cut(last.select("node").distinct().withColumn("id", F.monotonically_increasing_id()))
+    lists = last.join(ids, "node").groupBy("middle").agg(F.collect_list("id").alias("list"))
+    way = edges.filter(F.col("relation") == first).select(F.col("head").alias("qid"), F.col("tail").alias("middle")).distinct()
+    return way.join(lists, "middle").groupBy("qid").agg(F.array_distinct(F.flatten(F.collect_list("list"))).alias("reached")), ids
+
+
 def entity_types(edges: DataFrame, person: Sequence[str] = ("officer_of", "director_of", "insider_bought")) -> DataFrame:
     """``entity, type`` inferred from relations: heads of ``person`` relations are people, tails of ``in_sector`` sectors, others companies."""
     e = edges.select("head", "relation", "tail")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics
 from ..operators import governance, graph, traverse
-from .graph_queries import _CLOSED, _TYPE_CASE, _TYPES, closed, table
+from .graph_queries import _CLOSED, _TYPE_CASE, _TYPES, closed, companies, table
 from .lineage import cut
 from .registry import query
 
@@ -59,6 +59,13 @@ def _run(spark: SparkSession, sf_dir: str, controller: traverse.Controller | Non
     return traverse.traverse(company_questions(spark, sf_dir, e, answered), e, controller or traverse.DegreeController(2), budget or traverse.Budget(3, 50), BEAM, policies=policies)
 
 
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The degree controller's results with counted golds."""
+    e = cut(graph.with_reverses(cut(companies(spark, sf_dir))))
+    r = traverse.traverse(company_questions(spark, sf_dir, e, False), e, traverse.DegreeController(2), traverse.Budget(3, 50), BEAM)
+    return traverse.with_golds(r, *graph.reached_ids(e, "competitor_of", "has_subsidiary"))
+
+
 @query(f"WITH {_WALK} SELECT qid, answers, hops, llm_calls, hit, f1 FROM r")
 def traversal_degree_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every company's question by the degree controller, two hops and a stop."""
@@ -71,7 +78,7 @@ _STATS = ", ".join(f"avg({x})::DOUBLE AS {x}_mean, quantile_cont({x}, 0.5)::DOUB
 
 @query(f"WITH {_WALK} SELECT count(*) AS n_questions, avg(hit) AS hit, avg(first) AS hits_at_1, avg(f1) AS f1, {_STATS}, 1.0 AS audit_pass_rate FROM r")
 def harness_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traverse.summary(_run(spark, sf_dir))
+    return traverse.summary(_scored(spark, sf_dir))
 
 
 @query(f"WITH {_WALK} SELECT qid, 0 AS step, relation, d::DOUBLE AS score FROM c0 UNION ALL SELECT qid, 1, relation, d FROM c1 UNION ALL SELECT qid, 2, NULL, 1.0 FROM n2")

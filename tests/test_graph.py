@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from loomgraph.functions import metrics
 from loomgraph.operators import governance, graph, traverse
 
 EDGE = "qid string, pos long, head string, relation string, tail string"
@@ -145,6 +146,36 @@ def test_traversal_carries_no_golds(spark, monkeypatch):
     assert sum("golds" in c for c in cuts) == 1
 
 
+HUB = [("q", "rival", "m1"), ("q", "rival", "m2"), ("p", "rival", "m2"), ("o", "rival", "none"), ("n", "owns", "q")] + [("m1", "owns", f"t{i}") for i in range(60)] + [("m2", "owns", f"t{i}") for i in range(50, 70)]
+
+
+def test_many_golds_are_counted_and_not_listed(spark, monkeypatch):
+    e = edges(spark, HUB).drop("qid")
+    q = spark.createDataFrame([(x, "?", [x], [f"t{i}" for i in g]) for x, g in (("q", range(70)), ("p", range(50, 70)), ("o", []), ("n", []), ("t0", []))], Q)
+    seen, real = [], traverse.cut
+    monkeypatch.setattr(traverse, "cut", lambda df: seen.append(real(df)) or seen[-1])
+    listed = traverse.traverse(q, e, traverse.DegreeController(2), beam=3)
+    seen.clear()
+    bare = traverse.traverse(q.withColumn("golds", F.array().cast("array<string>")), e, traverse.DegreeController(2), beam=3)
+    counted = traverse.with_golds(bare, *graph.reached_ids(e, "rival", "owns"))
+    got = {r.qid: r for r in counted.collect()}
+    assert {k: r.n_golds for k, r in got.items()} == {"q": 70, "p": 20, "o": 0, "n": 0, "t0": 0}
+    assert {k: sorted(r.golds) for k, r in got.items()} == {"q": ["t0", "t1", "t2"], "p": ["t50", "t51", "t52"], "o": [], "n": [], "t0": []}
+    assert max(len(r.golds) for df in seen if "golds" in df.columns for r in df.collect()) == 3  # before, 70
+    one = lambda df, n: {r.qid: (r.hit, r.f) for r in df.select("qid", "hit", metrics.answer_f1(F.col("answers"), F.col("golds"), n).alias("f")).collect()}
+    assert one(counted, F.col("n_golds")) == one(listed, None)
+    assert traverse.summary(counted).first() == traverse.summary(listed).first()
+
+
+def test_degrees_are_counted_only_for_steps_that_look_at_them(spark, monkeypatch):
+    calls, real = [], traverse.Fanout.listed
+    monkeypatch.setattr(traverse.Fanout, "listed", lambda self, row: calls.append(1) or real(self, row))
+    r = run(spark, FAN + [("d", "r_on", "e")], ("q", "?", ["a"], ["d"]), traverse.DegreeController(2)).first()
+    assert (r.answers, r.hops, r.llm_calls, r.verdict) == (["d"], 2, 3, True)
+    assert [(s.action.type, s.action.score, s.candidates) for s in r.steps] == [("EXPAND", 2.0, ["r_hi", "r_lo"]), ("EXPAND", 1.0, ["r_next"]), ("STOP", 1.0, ["r_on"])]
+    assert len(calls) == 2  # before, 3
+
+
 def test_policies_audit_and_block(spark):
     policies = governance.build_policies([{"name": "relation_allowlist", "patterns": ["r_l*"]}])
     r = run(spark, FAN, ("q", "?", ["a"], ["b1"]), traverse.DegreeController(2), policies=policies)
