@@ -10,7 +10,7 @@ from ..operators import construct, governance, graph, training, traverse
 from .graph_queries import table
 from .lineage import cut
 from .registry import query
-from .traversal_queries import _WALK, _run
+from .traversal_queries import _WALK, _run, _scored
 
 
 @query(f"""WITH {_WALK} SELECT qid, round(f1 - 0.1::DOUBLE * least(1.0, llm_calls / 20.0), 6) AS reward, round(hit - 0.1::DOUBLE * least(1.0, llm_calls / 20.0), 6) AS hit_reward,
@@ -28,7 +28,7 @@ SELECT qid, position, relation, hit AS reward, round(hit + 0.1::DOUBLE * (3 - po
 def shaped_rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions with the reward shaped by distances that fall by one a hop, from three to none."""
     d = graph.shaping_deltas(F.array(*[F.lit(x) for x in (3, 2, 1)]), F.lit(0), 0.1)
-    out = traverse.rollout_rows(_run(spark, sf_dir), F.col("hit"), d)
+    out = traverse.rollout_rows(_scored(spark, sf_dir), F.col("hit"), d)
     return out.select("qid", "position", "action.relation", "reward", F.round("shaped", 6).alias("shaped"))
 
 

@@ -4,8 +4,10 @@ import math
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import loomgraph.plans.registry as registry
+from loomgraph.operators import traverse
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
@@ -59,3 +61,15 @@ def test_hard_chunks_are_the_hard_ones_and_a_few_more(spark):
     picked = {k for k, r in got.items() if r.escalate} if "escalate" in next(iter(got.values())).asDict() else set(got)
     hard = {k for k, v in flags.items() if v}
     assert hard <= picked and len(picked - hard) <= 0.15 * (len(flags) - len(hard)) + 3
+
+
+def most_golds(spark, monkeypatch, name):
+    """The most golds that a question brings into the traversal."""
+    seen, real = [], traverse.cut
+    monkeypatch.setattr(traverse, "cut", lambda df: seen.append(real(df)) or seen[-1])
+    registry.queries()[name](spark, DATA).count()
+    return max(df.agg(F.max(F.size("golds"))).first()[0] or 0 for df in seen if {"question", "golds"} <= set(df.columns))
+
+
+def test_shaped_rollouts_carry_no_golds(spark, monkeypatch):
+    assert most_golds(spark, monkeypatch, "shaped_rollouts") == 0  # before, the lists of all golds
