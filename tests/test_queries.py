@@ -73,3 +73,7 @@ def most_golds(spark, monkeypatch, name):
 
 def test_shaped_rollouts_carry_no_golds(spark, monkeypatch):
     assert most_golds(spark, monkeypatch, "shaped_rollouts") == 0  # before, the lists of all golds
+
+
+def test_trajectory_rewards_carry_no_golds(spark, monkeypatch):
+    assert most_golds(spark, monkeypatch, "trajectory_rewards") == 0  # before, the lists of all golds
